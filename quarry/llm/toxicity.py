@@ -21,18 +21,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a window; windows follow each other, so that each word is in one of them.
-WINDOW = 8
-LEVEL = 6
+WINDOW = 4
+LEVEL = 10
 #: Bound of the training sample, for each class.
 SAMPLE_ROWS = 3000
-ORDINARY_BYTES = 15_000
-TOXIC_BYTES = 8_000
+ORDINARY_BYTES = 4000
+TOXIC_BYTES = 4000
 #: Bytes a window must save under the toxic dictionary, for each feature.
-SAVINGS = (2, 3, 4, 6)
+SAVINGS = (1, 2, 3, 5)
 DECISION = 0.7
 
 
@@ -51,14 +51,20 @@ def _units(words: list[bytes]) -> set[bytes]:
 
 
 def _evidence(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Units in at least 2 % of the toxic documents and at least 12 times as common there, rarest first."""
+    """Words and word beginnings in at least 2 % of the toxic documents and at least 12 times as common there, rarest first. A
+    beginning is left out where one of its continuations is nearly as frequent."""
     t, o = Counter(), Counter()
     for words in toxic:
         t.update(_units(words))
     for words in ordinary:
         o.update(_units(words))
     least = max(3.0, 0.02 * len(toxic))
-    return sorted((u for u, n in t.items() if len(u) > 2 and n >= least and (n / (len(toxic) + 1)) > 12 * (o[u] + 0.5) / (len(ordinary) + 1)), key=lambda u: (t[u], u))
+    found = {u for u, n in t.items() if len(u) > 2 and n >= least and (n / (len(toxic) + 1)) > 12 * (o[u] + 0.5) / (len(ordinary) + 1)}
+    count: dict[bytes, int] = {}
+    for u in found:
+        count[u.rstrip(b"~")] = max(t[u], count.get(u.rstrip(b"~"), 0))
+    kept = [u for u, n in count.items() if not any(v != u and v.startswith(u) and 1.3 * m >= n for v, m in count.items())]
+    return sorted(kept, key=lambda u: (count[u], u))
 
 
 @dataclass
@@ -69,23 +75,14 @@ class Dictionaries:
     @classmethod
     def train(cls, toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int = 11) -> Dictionaries:
         rng = random.Random(seed)
-        plain = [w for words in ordinary for w in rng.sample(ws := windows(words), min(len(ws), 8))]
+        plain = [w for ws in map(windows, ordinary) for w in rng.sample(ws, min(len(ws), 8))]
         rng.shuffle(plain)
         common = cls._trained(plain, ORDINARY_BYTES)
-        units = _evidence(toxic, ordinary)
-        marks = {u for u in units if not u.endswith(b"~")}
-        heads = tuple(u[:-1] for u in units if u.endswith(b"~"))
-        passages = Counter(b for words in toxic for w in words if (b := w.strip(b".,;:!?\"'()|")) in marks or (heads and b.startswith(heads)))
-        told = [b" " + w for w, _ in passages.most_common()]
-        # the dictionary trainer wants many samples; what is most frequent comes last, nearest to the text
-        trained = cls._trained([b" ".join(told[i : i + 4]) for i in range(0, len(told), 4)] * max(1, 400 // max(1, len(told))), TOXIC_BYTES // 2) if len(told) >= 40 else b""
-        lexicon, size = [], 0
-        for w in told:
-            if size + len(w) > TOXIC_BYTES:
-                break
-            lexicon.append(w)
-            size += len(w)
-        front = trained + b"".join(reversed(lexicon)) + b" " if lexicon else b""
+        told = [b" " + u for u in _evidence(toxic, ordinary)]
+        while sum(map(len, told)) > TOXIC_BYTES:
+            told.pop(0)
+        # each sample is a passage of marks; what is most frequent comes last, nearest to the text
+        front = cls._trained([b"".join(told[i:]) for i in range(len(told))], TOXIC_BYTES) + b" " if told else b""
         return cls(common, front + common)
 
     @staticmethod
@@ -183,7 +180,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
     """``docs`` with one more column, the score of its text, 0 to 1."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
-    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 27 kB
+    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 8 kB each
 
     def score(batches):
         of = bound.value.scorer()
@@ -194,11 +191,12 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
     return docs.mapInArrow(score, docs.withColumn(column, F.lit(None).cast("double")).schema)
 
 
-HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, with training on rows that aren't held out."""
-    model = train(docs, labels, training=~HELD_OUT)
+    model = train(docs, labels, training=~held_out())
     scored = with_score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
