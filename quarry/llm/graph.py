@@ -38,12 +38,22 @@ def forest(ids: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _forests(batches):
-    table = pa.Table.from_batches(list(batches))
-    if table.num_rows:
-        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
-        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = forest(ids, union(np.arange(len(ids)), where[: len(a)], where[len(a) :]))
-        yield pa.record_batch({"a": x, "b": y})
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= 500_000:
+            yield _forest_of(held)
+            held = []
+    if held:
+        yield _forest_of(held)
+
+
+def _forest_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = forest(ids, union(np.arange(len(ids)), where[: len(a)], where[len(a) :]))
+    return pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
