@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,7 @@ class Repeats:
             warm, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
             rows = [(a.at[warm], a.first[warm], a.last[warm], np.ones(len(warm), np.uint8), a.keys[warm])]
             out = []
+            small = zstandard.ZstdCompressor(level=3).compress
             if len(hot):
                 many = a.last[hot] - a.first[hot] + 1
                 start = np.repeat(a.first[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -208,8 +210,8 @@ class Repeats:
             for b, e in zip(begin, np.r_[begin[1:], len(shard)]):
                 r = np.arange(b, e)
                 out.append({
-                    "shard": int(shard[b]), "part": part, "kind": 0, "rows": doc[r].astype(np.int32).tobytes(), "starts": (first[r] - a.begins[doc[r]]).astype(np.int64).tobytes(), "ends": (last[r] - a.begins[doc[r]]).astype(np.int64).tobytes(),
-                    "offsets": (at[r] - first[r]).astype(np.uint8).tobytes(), "weights": weight[r].tobytes(), "ids": ids[doc[r]].tobytes(), "data": self.packed(data, r),
+                    "shard": int(shard[b]), "part": part, "kind": 0, "rows": small(doc[r].astype(np.int32).tobytes()), "starts": small((first[r] - a.begins[doc[r]]).astype(np.uint32).tobytes()), "ends": small((last[r] - first[r]).astype(np.uint8).tobytes()),
+                    "offsets": small((at[r] - first[r]).astype(np.uint8).tobytes()), "weights": small(weight[r].tobytes()), "ids": small(ids[doc[r]].tobytes()), "data": small(self.packed(data, r)),
                 })
             return _sent(out)
 
@@ -220,10 +222,12 @@ class Repeats:
         asked = [r for r in table.to_pylist() if r["kind"] == 0]
         out = [{k: r[k] for k in ("part", "rows", "starts", "ends")} for r in known]
         if asked:
-            join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in asked), kind)
-            seen = {"first": join("starts", np.int64), "last": join("ends", np.int64), "row": join("rows", np.int32), "offset": join("offsets", np.uint8), "weight": join("weights", np.uint8), "id": join("ids", np.int64)}
-            part = np.repeat([r["part"] for r in asked], [len(r["rows"]) // 4 for r in asked])
-            gone = self.solve(seen, [r["data"] for r in asked])
+            whole = zstandard.ZstdDecompressor().decompress
+            join = lambda name, kind: np.frombuffer(b"".join(whole(r[name]) for r in asked), kind)
+            first = join("starts", np.uint32).astype(np.int64)
+            seen = {"first": first, "last": first + join("ends", np.uint8), "row": join("rows", np.int32), "offset": join("offsets", np.uint8), "weight": join("weights", np.uint8), "id": join("ids", np.int64)}
+            part = np.repeat([r["part"] for r in asked], [len(whole(r["weights"])) for r in asked])
+            gone = self.solve(seen, [whole(r["data"]) for r in asked])
             edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             who, b = np.nonzero(edge == 1)
             _, e = np.nonzero(edge == -1)
