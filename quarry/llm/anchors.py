@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 LEAST_PARTS = 48
 #: An anchor found more often than this is hot.
 HOT = 500
@@ -47,17 +47,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hashes of all runs of n units, put together from runs of powers of two."""
-    powers, level, size = {1: h}, h, 1
-    while size * 2 <= n:
-        level = level[:-size] * _power(size) + level[size:] if len(level) > size else level[:0]
-        size *= 2
-        powers[size] = level
     count = max(0, len(h) - n + 1)
-    out, at = np.zeros(count, np.uint64), 0
-    for size in sorted(powers, reverse=True):
-        if n & size:
-            out = out * _power(size) + powers[size][at : at + count]
-            at += size
+    out, at, level, size = np.zeros(count, np.uint64), n, h, 1
+    while count:
+        if n & size:  # from the end of the run to its front
+            at -= size
+            out += level[at : at + count] * _power(n - at - size)
+        size *= 2
+        if size > n:
+            break
+        level = level[: -(size // 2)] * _power(size // 2) + level[size // 2 :]
     return out
 
 
@@ -71,9 +70,9 @@ def anchors_of_windows(g: np.ndarray, w: int) -> np.ndarray:
     for at in range(0, max(0, len(g) - w + 1), STRETCH):
         some = g[at : at + STRETCH + w - 1]
         n = len(some)
-        keys = (some & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
         padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-        padded[:n] = keys
+        np.bitwise_and(some, ~np.uint64(0xFFFFFF), out=padded[:n])
+        padded[:n] |= np.arange(n, dtype=np.uint64)
         rows = padded.reshape(-1, w)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -108,7 +107,8 @@ def anchored(ids: list, units: np.ndarray, sizes: np.ndarray, width: int, gram:
     new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(p) else np.empty(0, np.int64)
     stop = np.r_[new[1:], len(p)] - 1 if len(p) else new
     at = p[new]
-    return Anchored(ids, units, begins, ends, at, starts[new], starts[stop], g[at])
+    # smallest hashes are small; scrambled once more they deal out evenly
+    return Anchored(ids, units, begins, ends, at, starts[new], starts[stop], mixed(g[at]))
 
 
 def document_rows(table: pa.Table) -> tuple[list, list[bytes]]:
@@ -156,17 +156,19 @@ class Repeats:
             n = np.minimum(n, 255).astype(np.uint8)
             cut = _bucket_cuts(keys, buckets)
             full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            small = zstandard.ZstdCompressor(level=3).compress
             return pa.table({
                 "bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()),
-                "keys": pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), "counts": pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
+                "keys": pa.array([small(planes(keys[cut[b] : cut[b + 1]])) for b in full], pa.binary()), "counts": pa.array([small(n[cut[b] : cut[b + 1]].tobytes()) for b in full], pa.binary()),
             })
 
         return run
 
     @staticmethod
     def _mark(table: pa.Table) -> pa.Table:
-        held = table.column("keys").to_pylist()
-        keys, n = np.frombuffer(b"".join(held), np.uint64), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+        whole = zstandard.ZstdDecompressor().decompress
+        held = [whole(k) for k in table.column("keys").to_pylist()]
+        keys, n = np.concatenate([from_planes(k) for k in held]), np.frombuffer(b"".join(map(whole, table.column("counts").to_pylist())), np.uint8)
         _, where = np.unique(keys, return_inverse=True)
         total = np.bincount(where, n)[where]
         code = ((total >= 2).astype(np.uint8) + (total > HOT)).astype(np.uint8)
@@ -250,7 +252,7 @@ class Repeats:
         """Rows of ``result`` for (doc_id, text)."""
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-        buckets, shards = max(LEAST_PARTS, parts // 8), max(LEAST_PARTS, parts // 2)
+        buckets, shards = max(LEAST_PARTS, parts // 16), max(LEAST_PARTS, parts // 4)
         docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"))
         marks = docs.groupBy("part").applyInArrow(self._distinct(buckets), "bucket int, part int, keys binary, counts binary")
         marks = marks.groupBy("bucket").applyInArrow(self._mark, "part int, bucket int, codes binary")
@@ -286,6 +288,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], high[np.r_[new[1:], len(starts)] - 1]
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, all first bytes, then all second bytes, and so on: the high bytes compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range begins in sorted keys."""
     return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))

@@ -110,7 +110,10 @@ class SuffixRepeats(Repeats):
     def payload(self, a, at, first, last):
         around = self.reach + self.width
         buffer = np.concatenate([np.zeros(self.reach, np.uint8), a.bytes, np.zeros(self.width, np.uint8)])
-        return np.lib.stride_tricks.sliding_window_view(buffer, around)[at]
+        rows = np.lib.stride_tricks.sliding_window_view(buffer, around)[at]
+        # bytes outside the stretch's windows are blanked, as they can't matter and then cost nothing
+        place = np.arange(around) - self.reach
+        return np.where((place >= (first - at)[:, None]) & (place < (last + self.width - at)[:, None]), rows, 0).astype(np.uint8)
 
     def packed(self, payload, rows):
         return payload[rows].tobytes()
