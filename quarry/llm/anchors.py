@@ -211,10 +211,9 @@ class Repeats:
             begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
             for b, e in zip(begin, np.r_[begin[1:], len(shard)]):
                 r = np.arange(b, e)
-                out.append({
-                    "shard": int(shard[b]), "part": part, "kind": 0, "rows": small(doc[r].astype(np.int32).tobytes()), "starts": small((first[r] - a.begins[doc[r]]).astype(np.uint32).tobytes()), "ends": small((last[r] - first[r]).astype(np.uint8).tobytes()),
-                    "offsets": small((at[r] - first[r]).astype(np.uint8).tobytes()), "weights": small(weight[r].tobytes()), "ids": small(ids[doc[r]].tobytes()), "data": small(self.packed(data, r)),
-                })
+                columns = doc[r].astype(np.int32), first[r] - a.begins[doc[r]], last[r] - first[r], at[r] - first[r], weight[r], ids[doc[r]]
+                seen = b"".join(c.astype(t).tobytes() for c, t in zip(columns, SEEN.values()))
+                out.append({"shard": int(shard[b]), "part": part, "kind": 0, "many": len(r), "rows": small(seen), "data": small(self.packed(data, r))})
             return _sent(out)
 
         return run
@@ -225,10 +224,8 @@ class Repeats:
         out = [{k: r[k] for k in ("part", "rows", "starts", "ends")} for r in known]
         if asked:
             whole = zstandard.ZstdDecompressor().decompress
-            join = lambda name, kind: np.frombuffer(b"".join(whole(r[name]) for r in asked), kind)
-            first = join("starts", np.uint32).astype(np.int64)
-            seen = {"first": first, "last": first + join("ends", np.uint8), "row": join("rows", np.int32), "offset": join("offsets", np.uint8), "weight": join("weights", np.uint8), "id": join("ids", np.int64)}
-            part = np.repeat([r["part"] for r in asked], [len(whole(r["weights"])) for r in asked])
+            seen = _columns([whole(r["rows"]) for r in asked], [r["many"] for r in asked])
+            part = np.repeat([r["part"] for r in asked], [r["many"] for r in asked])
             gone = self.solve(seen, [whole(r["data"]) for r in asked])
             edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             who, b = np.nonzero(edge == 1)
@@ -252,7 +249,7 @@ class Repeats:
         """Rows of ``result`` for (doc_id, text)."""
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-        buckets, shards = max(LEAST_PARTS, parts // 16), max(LEAST_PARTS, parts // 4)
+        buckets, shards = max(LEAST_PARTS, parts // 16), max(LEAST_PARTS, parts // 6)
         docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"))
         marks = docs.groupBy("part").applyInArrow(self._distinct(buckets), "bucket int, part int, keys binary, counts binary")
         marks = marks.groupBy("bucket").applyInArrow(self._mark, "part int, bucket int, codes binary")
@@ -261,7 +258,23 @@ class Repeats:
         return docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda d, f: self._remove(d, f), self.result)
 
 
-SENT = "shard int, part int, kind int, rows binary, starts binary, ends binary, offsets binary, weights binary, ids binary, data binary"
+SENT = "shard int, part int, kind int, many int, rows binary, starts binary, ends binary, data binary"
+#: What is told of each stretch: its document's number in the part, its first window, the number of windows after that, the place of the
+#: anchor in the first window, the weight, the document's id.
+SEEN = {"row": np.int32, "first": np.uint32, "last": np.uint8, "offset": np.uint8, "weight": np.uint8, "id": np.int64}
+
+
+def _columns(rows: list[bytes], many: list[int]) -> dict[str, np.ndarray]:
+    pieces: dict[str, list[np.ndarray]] = {c: [] for c in SEEN}
+    for data, n in zip(rows, many):
+        at = 0
+        for c, t in SEEN.items():
+            pieces[c].append(np.frombuffer(data, t, n, at))
+            at += n * np.dtype(t).itemsize
+    seen = {c: np.concatenate(p) for c, p in pieces.items()}
+    seen["first"] = seen["first"].astype(np.int64)
+    seen["last"] = seen["first"] + seen["last"]
+    return seen
 
 
 def _sent(out: list[dict]) -> pa.Table:
