@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, mixing, packing, pii, quality, simhash, suffix, toxicity
+from . import embedding, fmindex, mixing, packing, pii, quality, simhash, suffix, toxicity
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.report(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -42,5 +46,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_pii, op5_embedding, op6_suffix, op8_quality, op9_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fmindex, op3_mixing, op4_pii, op5_embedding, op6_suffix, op8_quality, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
