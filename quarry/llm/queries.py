@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding, fmindex, mixing, packing, pii, quality, simhash, suffix, toxicity
+from . import embedding, fmindex, lines, mixing, packing, pii, quality, simhash, suffix, toxicity
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(read(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fmindex, op3_mixing, op4_pii, op5_embedding, op6_suffix, op8_quality, op9_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fmindex, op3_mixing, op4_pii, op5_embedding, op6_suffix, op7_lines, op8_quality, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
