@@ -1,12 +1,14 @@
-"""Expressions and session helpers that the training-data operators share."""
+"""Expressions that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.session import cut, shared_dir
+
+__all__ = ["BLANKS", "WORD", "cut", "read", "shared_dir", "word_array", "word_count"]
+
 #: What separates words, as a Java regular expression; in Python ``bytes.split()`` cuts at the same bytes.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,22 +25,3 @@ def word_array(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; one of our own only where it names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
