@@ -15,6 +15,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens ``tokenize`` gives, without making them."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN)).cast("long")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")

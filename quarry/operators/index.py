@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokenize
+from quarry.functions.text import token_count, tokenize
 from quarry.plans.session import cut
 
 
@@ -27,7 +27,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(tokenize(F.col("text"))).cast("long").alias("length"))
+    return docs.select("doc_id", token_count(F.col("text")).alias("length"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

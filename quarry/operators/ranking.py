@@ -24,7 +24,7 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 def retrieve(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents with at least one of the query's terms."""
-    return posted.join(wanted, "term").select("query_id", "doc_id").distinct()
+    return posted.join(wanted.select("term").distinct(), "term", "left_semi").join(wanted, "term").select("query_id", "doc_id").distinct()
 
 
 def classic_idf(n: Column, df: Column) -> Column:
@@ -39,9 +39,9 @@ def relevance(index: Index, wanted: DataFrame, method: str = "bm25", k1: float =
     """(query_id, doc_id, relevance) for every candidate, also where the score is 0."""
     if method not in METHODS:
         raise ValueError(f"method has to be one of {METHODS}")
-    # the postings of the queries' terms are all that is read on; df is counted on them
-    hits = index.postings.join(wanted, "term")
-    df = index.postings.join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    # a semi-join goes below the aggregation of postings that are made on the fly, and prunes stored ones: only the queries' terms are shuffled
+    posted = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    hits, df = posted.join(wanted, "term"), posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats))  # one row
     n, tf, size = F.col("n_docs").cast("double"), F.col("tf").cast("double"), F.col("length").cast("double")
     if method == "tfidf":
