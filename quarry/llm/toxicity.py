@@ -5,7 +5,7 @@ toxic one is trained on the passages of toxic documents that set them apart (wor
 than ordinary documents) and is laid before the same ordinary content, at the same distances: a window of ordinary text has the same length
 under both, a window of toxic text is shorter under the toxic one. The score of a document is a logistic function of how
 many windows pass each length threshold; it is fitted by folds, so that no row is measured with a dictionary that has
-seen it, and moved so that score 0.7 is the point of best balance of precision and recall over the training rows.
+seen it, and moved so that score 0.7 is the point of best balance of precision and recall over the training rows, where precision counts double.
 
 Defined results: a null or blank text has no window and scores as a text without toxic windows; rows whose label is null, or whose doc_id
 is null, are not used in training; a doc_id with several labels is toxic if one of them is; with no sample of either class every score is
@@ -34,6 +34,8 @@ TOXIC_BYTES = 4000
 #: Bytes a window must save under the toxic dictionary, for each feature.
 SAVINGS = (1, 2, 3, 5)
 DECISION = 0.7
+#: How much recall weighs against precision where the decision is placed.
+BETA = 0.5
 
 
 def windows(words: list[bytes]) -> list[bytes]:
@@ -152,7 +154,7 @@ class Model:
         """The log-odds above which precision and recall are best balanced, halfway to the next lower value."""
         order = np.argsort(-z, kind="stable")
         z, hit = z[order], np.cumsum(y[order])
-        f = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
+        f = hit / (np.arange(1, len(z) + 1) + BETA**2 * y.sum())
         last = np.append(z[1:] < z[:-1], True)
         k = int(np.argmax(np.where(last, f, -1)))
         return float(z[k] + z[k + 1]) / 2 if k + 1 < len(z) else float(z[k]) - 1.0
