@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding, fmindex, lines, mixing, packing, pii, quality, simhash, suffix, toxicity
 from .common import read
+from .oracles import ORACLE_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +51,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fmindex, op3_mixing, op4_pii, op5_embedding, op6_suffix, op7_lines, op8_quality, op9_packing, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
