@@ -25,6 +25,9 @@ DEPTH = 3
 LEAST = 20
 CONSTANT = 0.6
 ANY = "<*>"
+SALTS = 32
+#: Up to so many leaves (8 bytes each) are broadcast; more are joined.
+BROADCAST_LEAVES = 500_000
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -51,7 +54,14 @@ def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, d
     leaves = lines.select("whole", F.explode(F.array_distinct(F.transform("lines", _leaf))).alias("leaf")).where("leaf is not null")
     leaves = leaves.distinct().groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
     placed = lines.select("row", "whole", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(_leaf(x).alias("leaf"), i.alias("place"), x.alias("line"))), lambda x: x["leaf"].isNotNull())).alias("x"))
-    placed = placed.select("row", "whole", "x.leaf", "x.place", "x.line").join(leaves, "leaf")
+    placed = placed.select("row", "whole", "x.leaf", "x.place", "x.line")
+    leaves = cut(leaves)
+    if leaves.count() <= BROADCAST_LEAVES:
+        placed = placed.join(F.broadcast(leaves), "leaf")
+    else:
+        # a leaf may hold a third of the lines: its lines are dealt to SALTS tasks, the leaf is sent to all of them
+        salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = placed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "salt"])
     placed = cut(placed.select("row", "whole", "leaf", "place", _masked(_tokens(F.col("line"))).alias("tokens")).withColumn("form", F.xxhash64("tokens")))
     # how many texts have a token at a position
     forms = placed.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"))

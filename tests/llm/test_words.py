@@ -162,7 +162,9 @@ def test_packing(docs):
     assert sum(caps) - sum(n for *_, n, _, _ in placed) <= 5
 
 
-def test_lines(docs):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_lines(docs, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_LEAVES", most)
     kept = {r.doc_id: r for r in lines.drop_recurring(docs, 20).collect()}
     assert kept[100].n_dropped == 1 and kept[100].text.startswith("own words") and kept[1].text is None and kept[15].n_dropped == 0
     assert lines.drop_recurring(docs, 31).where("n_dropped > 0").count() == 0
