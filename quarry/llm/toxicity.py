@@ -3,7 +3,8 @@
 Training takes a bounded sample of labelled rows. An ordinary dictionary is trained by zstandard on windows of ordinary documents. The
 toxic one is trained on the passages of toxic documents that set them apart (words and word beginnings found in far more toxic
 than ordinary documents) and is laid before the same ordinary content, at the same distances: a window of ordinary text has the same length
-under both, a window of toxic text is shorter under the toxic one. The score of a document is a logistic function of how
+under both, a window of toxic text is shorter under the toxic one. Every window begins with LEAD, on which both dictionaries end: a window
+without any other match would be stored raw, and so would one whose only match is a short one, which then couldn't be seen. The score of a document is a logistic function of how
 many windows pass each length threshold; it is fitted by folds, so that no row is measured with a dictionary that has
 seen it, and moved so that score 0.7 is the point of best balance of precision and recall over the training rows, where precision counts double.
 
@@ -15,6 +16,7 @@ is null, are not used in training; a doc_id with several labels is toxic if one
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 
 #: Words in a window; windows follow each other, so that each word is in one of them.
 WINDOW = 4
+#: What each window begins with.
+LEAD = b"=-=-#=-=-#=-=-#=-=-#=-=-"
+#: Lengths of the word beginnings that are counted as evidence.
+BEGINNINGS = range(4, 10)
 LEVEL = 10
 #: Bound of the training sample, for each class.
 SAMPLE_ROWS = 3000
@@ -39,7 +45,7 @@ BETA = 0.5
 
 
 def windows(words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+    return [LEAD + b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
 def split(text: str | None) -> list[bytes]:
@@ -49,13 +55,20 @@ def split(text: str | None) -> list[bytes]:
 def _units(words: list[bytes]) -> set[bytes]:
     """What evidence is counted on: words without punctuation, and beginnings of words."""
     bare = {w.strip(b".,;:!?\"'()|") for w in words}
-    return bare | {w[:n] + b"~" for w in bare for n in (4, 5) if len(w) > n}
+    return bare | {w[:n] + b"~" for w in bare for n in BEGINNINGS if len(w) > n}
+
+
+def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
+    """One document for each least hash of five words: near copies of a document nearly always share it."""
+    return list({min(zlib.crc32(b" ".join(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))): ws for ws in docs}.values())
 
 
 def _evidence(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
     """Words and word beginnings in at least 2 % of the toxic documents and at least 12 times as common there, rarest first. A
-    beginning is left out where one of its continuations is nearly as frequent."""
+    beginning is left out where one of its continuations is nearly as frequent. Copies of a toxic document are counted once, or what is rare in it
+    would seem frequent."""
     t, o = Counter(), Counter()
+    toxic = _distinct(toxic)
     for words in toxic:
         t.update(_units(words))
     for words in ordinary:
@@ -77,7 +90,7 @@ class Dictionaries:
     @classmethod
     def train(cls, toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int = 11) -> Dictionaries:
         rng = random.Random(seed)
-        plain = [w for ws in map(windows, ordinary) for w in rng.sample(ws, min(len(ws), 8))]
+        plain = [w[len(LEAD) :] for ws in map(windows, ordinary) for w in rng.sample(ws, min(len(ws), 8))]
         rng.shuffle(plain)
         common = cls._trained(plain, ORDINARY_BYTES)
         told = [b" " + u for u in _evidence(toxic, ordinary)]
@@ -99,7 +112,7 @@ class Dictionaries:
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         made = []
         for content in (self.ordinary, self.toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False))
         return made[0], made[1]
