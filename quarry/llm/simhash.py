@@ -9,7 +9,7 @@ indexed under its value in each group and probes the values within the threshold
 Texts that share only most of their shingles differ in a share of their bits (at a Jaccard similarity of 0.8, 15 %), beyond what
 thresholds on 64 bits can find at any size. For them fingerprints have several lanes of 64 bits; each lane is cut into groups that have to
 agree, and candidates are verified on the bits of all lanes. Of texts that are 0.8 alike nine in ten meet, of texts that are 0.9 alike all
-but one in a thousand.
+but one in a thousand, in a table of any size.
 
 Copies share a fingerprint and are one row of the search. A task links the fingerprints of its values and returns a spanning
 forest, never the pairs.
@@ -41,7 +41,7 @@ SEED = 42
 SAMPLE_ROWS = 4000
 BLOCK_ROWS = 20_000
 TASK_ROWS = 200_000
-#: For texts that share most of their shingles: words in a shingle, lanes, bits that may differ (16 % of 512), least bits of a group.
+#: For texts that share most of their shingles: words in a shingle, lanes, bits that may differ (16 % of 512), bits of a group.
 ALIKE_SHINGLE = 5
 ALIKE_LANES = 8
 ALIKE_RADIUS = 82
@@ -157,15 +157,15 @@ def _within(p: np.ndarray, radius: int) -> np.ndarray:
     return np.cumsum(at)
 
 
-def _alike_plan(sample: np.ndarray, rows: int) -> Plan:
-    """Groups of correlated bits of one lane that have to agree, wide enough for few candidates a row."""
-    wide = min(32, max(ALIKE_BITS, int(rows).bit_length() - 4))
+def _alike_plan(sample: np.ndarray) -> Plan:
+    """Groups of correlated bits of one lane that have to agree. Their width is the same for any number of rows, and with it the chance that
+    two fingerprints meet; what grows with the rows is the number of candidates."""
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
     ones = bits.mean(0) if len(bits) else np.full(64, 0.5)
     spread = bits - ones
     size = np.sqrt((spread**2).sum(0)) + 1e-9
     near = np.abs(spread.T @ spread / np.outer(size, size)) if len(bits) else np.eye(64)
-    return [(sorted(g), 0) for g in _grouped(near, 2 * ones * (1 - ones), 64 // wide)]
+    return [(sorted(g), 0) for g in _grouped(near, 2 * ones * (1 - ones), 64 // ALIKE_BITS)]
 
 
 def _prober(plans: list[Plan]):
@@ -237,7 +237,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFram
     """(node, fp), each fp once, to links (a, b) of nodes, whose components are those of all pairs at most ``radius`` bits apart."""
     rows = distinct.count()
     sample = _words([bytes(r.fp) for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).select("fp").collect()], lanes)
-    plans = [plan(sample[:, 0], rows, radius)] if lanes == 1 else [_alike_plan(sample[:, lane], rows) for lane in range(lanes)]
+    plans = [plan(sample[:, 0], rows, radius)] if lanes == 1 else [_alike_plan(sample[:, lane]) for lane in range(lanes)]
     probes = distinct.select("node", "fp").mapInArrow(_prober(plans), "part int, value long, own boolean, node long, fp binary")
     dealt = blocks(probes, ["part", "value"], "node", BLOCK_ROWS)
     per_row = sum(1 + sum(comb(len(bits), d) for d in range(1, t + 1)) / 2 for p in plans for bits, t in p)

@@ -89,6 +89,21 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(u))] == want.tolist()
 
 
+@pytest.mark.parametrize("rows", [1 << 19, 1 << 22, 1 << 26])
+def test_recall_of_lanes_in_large_tables(spark, monkeypatch, rows):
+    rng = np.random.default_rng(7)
+    u = rng.integers(0, 1 << 63, (300, 8), np.uint64)
+    for k in range(0, 300, 2):
+        flip = rng.random((8, 64)) < 0.14
+        u[k + 1] = u[k] ^ (flip.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "node long, fp binary")
+    monkeypatch.setattr(type(df), "count", lambda self: rows)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 1 << 30)
+    found = {(min(r), max(r)) for r in simhash.links(df, 512, 8).collect()}
+    # 512 bits: whatever meets is linked
+    assert len({p for p in found if p[0] % 2 == 0 and p[1] == p[0] + 1}) >= 0.88 * 150
+
+
 @pytest.mark.parametrize("lists,block", [(2000, 4000), (20, 7)])
 def test_embedding(spark, monkeypatch, lists, block):
     monkeypatch.setattr(embedding, "ROWS_PER_LIST", lists)
