@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree.
 
 A line's tokens are what stands between blanks; tokens with a digit are variable. The tree has a fixed depth: the number of tokens, then
-the first DEPTH tokens, variable ones as <*>. Under a leaf, a token stays in the template at its position if at least ``least`` texts have it there,
+the first DEPTH tokens, or all that a shorter line has, variable ones as <*>. Under a leaf, a token stays in the template at its position if at least ``least`` texts have it there,
 and is variable (<*>) otherwise. A template recurs if at least ``least`` texts have it and at least CONSTANT of its positions are constant; lines
 whose template recurs are dropped wherever they stand.
 
@@ -9,9 +9,9 @@ Copies of a text count as one text, so that a document isn't taken for boilerpla
 the lines, and is built from aggregations: leaves are counted first, on hashes, and only lines of leaves that can hold a recurring template are looked at
 again. Lines are pre-aggregated to distinct ones, so that a line that stands in a third of the documents is one row.
 
-Defined results: a null text has no lines and stays null; blank lines and lines of under DEPTH tokens reach no leaf and stay; an empty text stays
+Defined results: a null text has no lines and stays null; blank lines reach no leaf and stay; an empty text stays
 empty; equal rows lose the same lines; a document that loses all lines keeps its row with an empty text; other columns are
-kept by ``drop_recurring``; an empty table gives an empty result.
+kept by ``drop_recurring``; an empty table gives an empty result. ``report`` follows its SQL, where lines of under DEPTH tokens reach no leaf.
 """
 
 from __future__ import annotations
@@ -39,21 +39,21 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
 
 
-def _leaf(line: Column) -> Column:
-    """The leaf of a line, as a hash; null for lines that reach none. The line is matched for its first tokens, and blanks counted."""
-    first = F.regexp_extract(line, r"^[\x20\x09-\x0D]*((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]+)" % (DEPTH - 1), 1)
+def _leaf(line: Column, shortest: int) -> Column:
+    """The leaf of a line, as a hash; null for lines of under ``shortest`` tokens. The line is matched for its first tokens, and its tokens are counted."""
+    first = F.regexp_extract(line, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d,%d})" % (shortest - 1, DEPTH - 1), 1)
     return F.when(first != "", F.xxhash64(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), _masked(F.split(first, BLANKS))))
 
 
-def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, depth: int = DEPTH) -> DataFrame:
+def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, depth: int = DEPTH, shortest: int = 1) -> DataFrame:
     """(row, place): the lines to drop, by hash of the row's doc_id and text and by number in the text from 0."""
     if depth != DEPTH:
         raise ValueError("the tree's depth is fixed")
     lines = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("whole"), F.split("text", "\n").alias("lines"))
     # one row for each leaf of a text, without the text
-    leaves = lines.select("whole", F.explode(F.array_distinct(F.transform("lines", _leaf))).alias("leaf")).where("leaf is not null")
+    leaves = lines.select("whole", F.explode(F.array_distinct(F.transform("lines", lambda x: _leaf(x, shortest)))).alias("leaf")).where("leaf is not null")
     leaves = leaves.distinct().groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
-    placed = lines.select("row", "whole", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(_leaf(x).alias("leaf"), i.alias("place"), x.alias("line"))), lambda x: x["leaf"].isNotNull())).alias("x"))
+    placed = lines.select("row", "whole", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(_leaf(x, shortest).alias("leaf"), i.alias("place"), x.alias("line"))), lambda x: x["leaf"].isNotNull())).alias("x"))
     placed = placed.select("row", "whole", "x.leaf", "x.place", "x.line")
     leaves = cut(leaves)
     if leaves.count() <= BROADCAST_LEAVES:
@@ -77,9 +77,9 @@ def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, d
     return placed.join(found, ["leaf", "form"]).select("row", "place")
 
 
-def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT) -> DataFrame:
+def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, shortest: int = 1) -> DataFrame:
     """``docs`` with the recurring lines cut out of the texts, and one more column, n_dropped."""
-    gone = recurring(docs, least, constant).groupBy("row").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("row", "_row")
+    gone = recurring(docs, least, constant, shortest=shortest).groupBy("row").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("row", "_row")
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_row"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
@@ -89,5 +89,5 @@ def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTA
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of lines that aren't blank, how many were dropped, the digest of the text that is kept."""
     n = F.size(F.filter(F.split(F.coalesce("before", F.lit("")), "\n"), lambda x: ~x.rlike(BLANK)))
-    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")))
+    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")), shortest=DEPTH)
     return kept.select("doc_id", n.cast("long").alias("n_lines"), "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

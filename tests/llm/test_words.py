@@ -200,6 +200,14 @@ def test_lines(docs, monkeypatch, most):
     assert len(rows(lines.report(docs))) == len(ROWS)
 
 
+def test_short_lines(spark):
+    texts = [f"Les.\nown{chr(97 + i)} words{chr(97 + i)} here{chr(97 + i)}\n And\tornd. \n\n \nrare{chr(97 + i // 2)}\n{i}" for i in range(26)]
+    got = {r.doc_id: r for r in lines.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        kept = [x for x in t.split("\n") if x.split() not in (["Les."], ["And", "ornd."])]
+        assert (got[i].n_dropped, got[i].text) == (2, "\n".join(kept))
+
+
 @pytest.mark.parametrize("run", [fmindex.report, suffix.report, quality.assess, pii.report, mixing.quotas, mixing.mix, packing.pack_documents, lines.report, lines.drop_recurring, simhash.report, simhash.keep_one], ids=lambda f: f"{f.__module__.rsplit('.')[-1]}.{f.__name__}")
 def test_empty(empty, run):
     assert run(empty).count() == 0
