@@ -2,8 +2,8 @@
 
 A line's tokens are what stands between blanks; tokens with a digit are variable. The tree has a fixed depth: the number of tokens, then
 the first DEPTH tokens, or all that a shorter line has, variable ones as <*>. Under a leaf, a token stays in the template at its position if at least ``least`` texts have it there,
-and is variable (<*>) otherwise. A template recurs if at least ``least`` texts have it and at least CONSTANT of its positions are constant; lines
-whose template recurs are dropped wherever they stand.
+and is variable (<*>) otherwise. A template recurs if at least ``least`` texts have it and of its positions without a digit at least
+CONSTANT are constant, and no fewer than those with a digit; lines whose template recurs are dropped wherever they stand.
 
 Copies of a text count as one text, so that a document isn't taken for boilerplate because it was copied. The tree doesn't depend on the order of
 the lines, and is built from aggregations: leaves are counted first, on hashes, and only lines of leaves that can hold a recurring template are looked at
@@ -11,7 +11,8 @@ again. Lines are pre-aggregated to distinct ones, so that a line that stands in
 
 Defined results: a null text has no lines and stays null; blank lines reach no leaf and stay; an empty text stays
 empty; equal rows lose the same lines; a document that loses all lines keeps its row with an empty text; other columns are
-kept by ``drop_recurring``; an empty table gives an empty result. ``report`` follows its SQL, where lines of under DEPTH tokens reach no leaf.
+kept by ``drop_recurring``; an empty table gives an empty result. ``report`` follows its SQL, where lines of under DEPTH tokens reach no leaf
+and CONSTANT is a share of all positions.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def _leaf(line: Column, shortest: int) -> Column:
     return F.when(first != "", F.xxhash64(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), _masked(F.split(first, BLANKS))))
 
 
-def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, depth: int = DEPTH, shortest: int = 1) -> DataFrame:
-    """(row, place): the lines to drop, by hash of the row's doc_id and text and by number in the text from 0."""
+def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, depth: int = DEPTH, shortest: int = 1, fields: bool = False) -> DataFrame:
+    """(row, place): the lines to drop, by hash of the row's doc_id and text and by number in the text from 0. With ``fields`` tokens with a
+    digit count as positions that aren't constant."""
     if depth != DEPTH:
         raise ValueError("the tree's depth is fixed")
     lines = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("whole"), F.split("text", "\n").alias("lines"))
@@ -70,16 +72,17 @@ def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, d
     seen = spread.join(texts, ["leaf", "form"]).groupBy("leaf", "at", "token", "whole").count().groupBy("leaf", "at", "token").count()
     usual = seen.where((F.col("count") >= least) & (F.col("token") != ANY)).select("leaf", "at", "token", F.lit(True).alias("usual"))
     general = spread.join(usual, ["leaf", "at", "token"], "left").withColumn("part", F.when(F.col("usual"), F.col("token")).otherwise(F.lit(ANY)))
-    general = general.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"), F.avg(F.when(F.col("usual"), 1.0).otherwise(0.0)).alias("share"))
-    general = general.where(F.col("share") >= constant).select("leaf", "form", F.xxhash64("leaf", F.transform("parts", lambda p: p["part"])).alias("template"))
+    judged = F.when(F.col("usual"), 1.0).when(F.lit(fields) | (F.col("token") != ANY), 0.0)
+    general = general.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"), F.avg(judged).alias("share"), F.count(F.col("usual")).alias("same"), F.count(F.when(F.col("token") == ANY, 1)).alias("digits"))
+    general = general.where((F.col("share") >= constant) & (F.lit(fields) | (F.col("same") >= F.col("digits")))).select("leaf", "form", F.xxhash64("leaf", F.transform("parts", lambda p: p["part"])).alias("template"))
     support = texts.join(general, ["leaf", "form"]).select("template", "whole").distinct().groupBy("template").count()
     found = general.join(support.where(F.col("count") >= least), "template").select("leaf", "form")
     return placed.join(found, ["leaf", "form"]).select("row", "place")
 
 
-def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, shortest: int = 1) -> DataFrame:
+def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, shortest: int = 1, fields: bool = False) -> DataFrame:
     """``docs`` with the recurring lines cut out of the texts, and one more column, n_dropped."""
-    gone = recurring(docs, least, constant, shortest=shortest).groupBy("row").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("row", "_row")
+    gone = recurring(docs, least, constant, shortest=shortest, fields=fields).groupBy("row").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("row", "_row")
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_row"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
@@ -89,5 +92,5 @@ def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTA
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of lines that aren't blank, how many were dropped, the digest of the text that is kept."""
     n = F.size(F.filter(F.split(F.coalesce("before", F.lit("")), "\n"), lambda x: ~x.rlike(BLANK)))
-    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")), shortest=DEPTH)
+    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")), shortest=DEPTH, fields=True)
     return kept.select("doc_id", n.cast("long").alias("n_lines"), "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

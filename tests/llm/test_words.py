@@ -208,6 +208,13 @@ def test_short_lines(spark):
         assert (got[i].n_dropped, got[i].text) == (2, "\n".join(kept))
 
 
+def test_short_templates_with_fields(spark):
+    texts = [f"Page {i} of 26\n{i} {i + 1}\n{i}\nPage {i} {chr(97 + i)} {chr(97 + i)}x" for i in range(26)]
+    got = {r.doc_id: r for r in lines.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_dropped, got[i].text) == (1, t.split("\n", 1)[1])
+
+
 @pytest.mark.parametrize("run", [fmindex.report, suffix.report, quality.assess, pii.report, mixing.quotas, mixing.mix, packing.pack_documents, lines.report, lines.drop_recurring, simhash.report, simhash.keep_one], ids=lambda f: f"{f.__module__.rsplit('.')[-1]}.{f.__name__}")
 def test_empty(empty, run):
     assert run(empty).count() == 0
