@@ -7,12 +7,13 @@ dynamic programming on candidate counts estimated from a bounded sample of finge
 indexed under its value in each group and probes the values within the threshold; candidates are verified on all bits.
 
 Texts that share only most of their shingles differ in a share of their bits (at a Jaccard similarity of 0.8, 15 %), beyond what
-thresholds on 64 bits can find at any size. For them fingerprints have several lanes of 64 bits; each lane is cut into groups that have to
-agree, and candidates are verified on the bits of all lanes. Of texts that are 0.8 alike nine in ten meet, of texts that are 0.9 alike all
-but one in a thousand, in a table of any size.
+thresholds on 64 bits can find at any size. For them (``alike``) fingerprints are made of the distinct shingles and have several lanes of 64
+bits; each lane is cut into groups that have to agree. Of texts that are 0.8 alike nine in ten meet, of texts that are 0.9 alike all but one
+in a thousand, in a table of any size. Pairs that meet and differ in at most ALIKE_RADIUS bits, which refuses one in a thousand at 0.8, only say
+which texts to look at: texts that they connect are compared with each other by the Jaccard similarity of their shingles, which decides.
 
-Copies share a fingerprint and are one row of the search. A task links the fingerprints of its values and returns a spanning
-forest, never the pairs.
+Copies share a fingerprint (in ``alike`` a set of shingles) and are one row of the search. A task links the fingerprints of its values and
+returns a spanning forest, never the pairs. Texts connected by candidates are compared block by block; those already linked aren't compared again.
 
 Defined results: a null or blank text has fingerprint 0 and is linked like any other; fewer words than a shingle make one shingle; equal rows keep a
 row each; a null doc_id keeps its row and its group but can't name one; an empty table gives an empty result; other columns are
@@ -41,11 +42,16 @@ SEED = 42
 SAMPLE_ROWS = 4000
 BLOCK_ROWS = 20_000
 TASK_ROWS = 200_000
-#: For texts that share most of their shingles: words in a shingle, lanes, bits that may differ (16 % of 512), bits of a group.
+#: For texts that share most of their shingles: words in a shingle, least Jaccard similarity, lanes, bits that candidates may differ in (at 0.8 it
+#: is 78 of 512 on average with a deviation of 8), bits of a group.
 ALIKE_SHINGLE = 5
+ALIKE = 0.8
 ALIKE_LANES = 8
-ALIKE_RADIUS = 82
+ALIKE_RADIUS = 104
 ALIKE_BITS = 16
+#: Texts of a block that is compared with another one, texts of a task.
+ALIKE_ROWS = 500
+ALIKE_TASK_ROWS = 10_000
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -63,7 +69,10 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = SHINGLE, lanes: int = 1) -> bytes:
     """Eight bytes for each lane, little-endian."""
-    h = shingle_hashes(text, width)
+    return _fingerprint(shingle_hashes(text, width), lanes)
+
+
+def _fingerprint(h: np.ndarray, lanes: int) -> bytes:
     if not len(h):
         return bytes(8 * lanes)
     return b"".join(_majority(h if lane == 0 else mixed(h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))) for lane in range(lanes))
@@ -256,11 +265,98 @@ def cluster(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, lanes:
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = ALIKE_SHINGLE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
+def _set_batches(width: int, lanes: int):
+    """Rows with a text to rows with a fingerprint of its distinct shingles and their digest."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(batch.schema.get_field_index("text"))]
+            fp, digest = [_fingerprint(h, lanes) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(fp, pa.binary())).append_column("digest", pa.array(digest, pa.binary()))
+
+    return run
+
+
+def _shingle_batches(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
+
+    return run
+
+
+def _comparer(least: float):
+    """Texts of pairs of blocks to links of texts at least ``least`` alike; of pairs that other links connect some are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group, low, high, mine, node = (table.column(c).to_numpy() for c in ("component", "low", "high", "mine", "node"))
+        order = np.lexsort((node, mine, high, low, group))
+        group, low, high, mine, node = group[order], low[order], high[order], mine[order], node[order]
+        raw = table.column("shingles").to_pylist()
+        sets = [np.frombuffer(raw[k], np.uint64) for k in order]
+        size = np.array([len(x) for x in sets], np.int64)
+        at = np.r_[0, np.cumsum(size)]
+        values, ids = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        marked = np.zeros(len(values), bool)
+        root = np.arange(len(node))
+        a, b = [], []
+        start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(node) else []
+        for s, e in zip(start, [*start[1:], len(node)]):
+            # a block meets itself, or another block that stands after it
+            split = s + int((mine[s:e] == low[s]).sum()) if low[s] != high[s] else e
+            for i in range(s, split):
+                others = np.arange(i + 1 if low[s] == high[s] else split, e)
+                small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+                others = others[(root[others] != root[i]) & (small >= least * large - 1)]
+                if not len(others):
+                    continue
+                marked[ids[at[i] : at[i + 1]]] = True
+                for j in others:
+                    if root[j] != root[i]:
+                        shared = np.count_nonzero(marked[ids[at[j] : at[j + 1]]])
+                        every = size[i] + size[j] - shared
+                        if every and shared / every >= least:
+                            a.append(node[i])
+                            b.append(node[j])
+                            here = root[s:e]
+                            here[here == root[j]] = root[i]
+                marked[ids[at[i] : at[i + 1]]] = False
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _compared(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) of nodes at least ``least`` alike, whose components are those of all such pairs within the components ``loose``."""
+    held = cut(loose.select("node", "component").unionByName(loose.select(F.col("component").alias("node"), "component").distinct()))
+    tasks = max(12, held.count() // ALIKE_TASK_ROWS)
+    large = held.groupBy("component").count().where(F.col("count") > ALIKE_ROWS).select("component", F.ceil(F.col("count") / ALIKE_ROWS).cast("int").alias("n"))
+    held = held.join(large, "component", "left").join(nodes.select("node", "row"), "node").select("node", "component", "row", F.coalesce("n", F.lit(1)).alias("n"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(held, "row").drop("row").dropDuplicates(["node"])
+    sets = texts.select("node", "component", "n", "text").mapInArrow(_shingle_batches(width), "node long, component long, n int, shingles binary")
+    sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    return pairs.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks))).select("task", "component", "low", "high", "mine", "node", "shingles").groupBy("task").applyInArrow(_comparer(least), EDGES)
+
+
+def alike(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of all documents reachable by links of texts at least ``least`` alike)."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    marked = cut(rows.mapInArrow(_set_batches(width, lanes), "doc_id long, row long, fp binary, digest binary"))
+    nodes = cut(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    loose = components(links(nodes, radius, lanes))
+    of = components(_compared(docs, nodes, loose, width, least)).withColumnRenamed("node", "linked")
+    named = nodes.join(of, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("component", "node").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return marked.join(named.select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
     """The documents whose doc_id is the smallest of their group, with all their columns; of repeated rows of that id one stays, rows
     without a doc_id stay."""
     names = docs.columns
-    kept = cluster(docs, width, radius, lanes).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = alike(docs, width, least, radius, lanes).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, F.col("doc_id") == F.col("_kept")).dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in names])
     return rows.unionByName(docs.where("doc_id is null"))
 

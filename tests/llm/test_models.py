@@ -89,6 +89,30 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(u))] == want.tolist()
 
 
+@pytest.mark.parametrize("block", [500, 3])
+def test_keep_one_by_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "ALIKE_ROWS", block)
+    rng = random.Random(8)
+    texts = [None, "", " ", "one two", "ONE  two", "x " * 300 + "a b c d e f", "x " * 300 + "g h i j k l"]
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for n in [0, *rng.sample(range(1, 14), 5)]:
+            v = list(base)
+            for at in rng.sample(range(400), n):
+                v[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    jaccard = np.array([[len(x & y) / len(x | y) if x | y else 1.0 for y in sets] for x in sets])
+    want = components(len(texts), lambda i: np.flatnonzero(jaccard[i] >= 0.8))
+    got = {r.doc_id: r.component_id for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    label = np.array([got[i] for i in range(len(texts))])
+    # nothing is linked that brute force does not connect
+    assert all(want[i] == want[label[i]] for i in range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 0.8 <= jaccard[i, j] < 1]
+    assert len(pairs) > 250 and sum(label[i] == label[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == set(label.tolist())
+
+
 @pytest.mark.parametrize("rows", [1 << 19, 1 << 22, 1 << 26])
 def test_recall_of_lanes_in_large_tables(spark, monkeypatch, rows):
     rng = np.random.default_rng(7)
