@@ -2,10 +2,11 @@
 
 Base kinds, always reported when they match and pass their check: email, ip, card (Luhn), phone. The method adds kinds that need more
 evidence: iban (mod 97), secret (keys and passwords) and ssn. A proposal of these has a score by kind, to which a passed checksum
-and a context word within CONTEXT characters before it add; it is reported from THRESHOLD on.
+and a context word within CONTEXT characters before or after it add; it is reported from THRESHOLD on.
 
 Everything is built from SQL functions. Positions come from the text's pieces between matches: a match starts after all
-gaps and matches before it. Positions count code points, ends are exclusive.
+gaps and matches before it, by running sums over chunks of CHUNK of them, so that a text of many matches costs as much for each of them as a
+text of few. Positions count code points, ends are exclusive.
 
 Defined results: a null or empty text has no spans; equal rows give equal results; spans of different kinds may overlap; other columns are
 ignored; an empty table gives an empty result.
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 40
+#: Numbers that are summed up together; three levels of chunks, the last one of any size, hold a quarter of a million chunks' sums at a small cost.
+CHUNK = 64
 THRESHOLD = 0.6
 
 
@@ -81,28 +84,71 @@ CHECKS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(x: Column, base: Column) -> Column:
+    """base, then base with all numbers before it added, for each number of an array of at most CHUNK."""
+    zero = F.struct(base.alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(x, zero, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
+
+
+def before_each(x: Column, levels: int = 3) -> Column:
+    """For each number of an array of ints, which isn't empty, the sum of those before it."""
+
+    def of(x: Column) -> Column:
+        # slice() would copy the whole array for each chunk
+        chunks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), lambda k: F.transform(F.sequence(k, F.least(k + CHUNK, F.size(x)) - 1), lambda i: F.get(x, i)))
+        return _let(chunks, joined)
+
+    def joined(cs: Column) -> Column:
+        sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n))
+        return F.flatten(F.zip_with(cs, before_each(sums, levels - 1), _running))
+
+    return _let(x, of) if levels else _running(x, F.lit(0))
+
+
+def _near(found: Column, gaps: Column, i: Column) -> Column:
+    """The text within CONTEXT characters of match i. Matches that need context have ten characters or more, so that a few neighbours suffice."""
+    m = lambda k: F.coalesce(F.get(found, i + k), F.lit(""))
+    g = lambda k, side: side(F.coalesce(F.get(gaps, i + k), F.lit("")), F.lit(CONTEXT))
+    ahead = F.concat(*[x for k in range(-4, 0) for x in (g(k, F.right), m(k))], g(0, F.right))
+    after = F.concat(g(1, F.left), *[x for k in range(1, 5) for x in (m(k), g(k + 1, F.left))])
+    return F.concat(F.right(ahead, F.lit(CONTEXT)), F.lit("\n"), F.left(after, F.lit(CONTEXT)))
+
+
 def _matches(text: Column, kind: Kind, order: int) -> Column:
     """The confirmed spans of one kind in a text that isn't null: an array of (start, order, end, kind)."""
     found = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1))
-    gaps = F.split(text, kind.pattern, -1)
-    # after each gap and match: the place reached, and the spans so far
-    kept = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string,near:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("near"))
-        return F.struct(end.cast("int").alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
-
-    spans = F.aggregate(kept, zero, step, lambda a: a["spans"])
-    passed = CHECKS[kind.check] if kind.check else lambda s: F.lit(True)
-    score = lambda x: F.lit(kind.score) + (F.when(passed(x["m"]), F.lit(kind.checked)).otherwise(0.0) if kind.check else F.lit(0.0)) + (F.when(x["near"].rlike(kind.context), F.lit(kind.near)).otherwise(0.0) if kind.context else F.lit(0.0))
-    good = (lambda x: passed(x["m"])) if kind in BASE else (lambda x: score(x) >= THRESHOLD)
-    spans = F.transform(F.filter(spans, good), lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), F.lit(kind.name).alias("kind")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return F.when(text.rlike(kind.pattern), spans).otherwise(none) if kind.needs is None else F.when(text.rlike(kind.needs), spans).otherwise(none)
+    passed = CHECKS[kind.check] if kind.check else lambda m: F.lit(True)
+
+    def good(m: Column, near) -> Column:
+        if kind in BASE:
+            return passed(m)
+        score = F.lit(kind.score) + F.when(passed(m), F.lit(kind.checked)).otherwise(0.0)
+        return score + (F.when(near.rlike(kind.context), F.lit(kind.near)).otherwise(0.0) if kind.context else F.lit(0.0)) >= THRESHOLD
+
+    def placed(both: Column) -> Column:
+        ms, gaps = both["m"], both["g"]
+        # a match begins after the gaps and matches before it and its own gap
+        lengths = F.transform(ms, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        starts = F.zip_with(before_each(lengths), F.transform(ms, lambda m, i: F.length(F.get(gaps, i))), lambda a, b: a + b)
+        spans = F.zip_with(ms, starts, lambda m, at: F.struct(at.alias("start"), F.lit(order).alias("order"), (at + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"), m.alias("m")))
+        if kind.context:
+            kept = F.filter(spans, lambda x, i: good(x["m"], _near(ms, gaps, i)))
+        else:
+            kept = F.filter(spans, lambda x: good(x["m"], None))
+        return F.transform(kept, lambda x: x.dropFields("m"))
+
+    def some(ms: Column) -> Column:
+        both = F.struct(ms.alias("m"), F.split(text, kind.pattern, -1).alias("g"))
+        return F.when(F.size(ms) == 0, none).otherwise(_let(both, placed))
+
+    # texts without what the kind needs aren't searched, texts without a match aren't split
+    return F.when(text.rlike(kind.needs or kind.pattern), _let(found, some)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -116,7 +162,7 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each base kind, the digest of the base spans, all spans."""
+    """doc_id, the number of spans of each base kind, the digest of the base spans, all spans and their number."""
     base = F.concat(*[F.col(k.name) for k in BASE])
     every = F.concat(*[F.col(k.name) for k in KINDS])
     return find(docs).select(
@@ -124,6 +170,7 @@ def report(docs: DataFrame) -> DataFrame:
         *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"),
     )
 
 
