@@ -1,8 +1,8 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
 
-Training takes a bounded sample of labelled rows. An ordinary dictionary is trained by zstandard on windows of ordinary documents. The
-toxic one is trained on the passages of toxic documents that set them apart (words and word beginnings found in far more toxic
-than ordinary documents) and is laid before the same ordinary content, at the same distances: a window of ordinary text has the same length
+Training takes a bounded sample of labelled rows. Both dictionaries are trained by zstandard: the ordinary one on windows of ordinary documents, the toxic one on
+the passages of toxic documents that set them apart, as they stand there (words that begin like what is found in far more toxic than ordinary
+documents). The toxic content is laid before the same ordinary content, at the same distances: a window of ordinary text has the same length
 under both, a window of toxic text is shorter under the toxic one. Every window begins with LEAD, on which both dictionaries end: a window
 without any other match would be stored raw, and so would one whose only match is a short one, which then couldn't be seen. The score of a document is a logistic function of how
 many windows pass each length threshold; it is fitted by folds, so that no row is measured with a dictionary that has
@@ -32,11 +32,15 @@ WINDOW = 4
 LEAD = b"=-=-#=-=-#=-=-#=-=-#=-=-"
 #: Lengths of the word beginnings that are counted as evidence.
 BEGINNINGS = range(4, 10)
+MARKS = b".,;:!?\"'()|"
 LEVEL = 10
-#: Bound of the training sample, for each class.
+#: Bounds of the training sample: rows of each class, bytes of a text (longer ones aren't trained on), windows of an ordinary document.
 SAMPLE_ROWS = 3000
+SAMPLE_TEXT_BYTES = 50_000
+SAMPLE_WINDOWS = 8
+#: Sizes that the dictionaries are trained to.
 ORDINARY_BYTES = 4000
-TOXIC_BYTES = 4000
+TOXIC_BYTES = 2000
 #: Bytes a window must save under the toxic dictionary, for each feature.
 SAVINGS = (1, 2, 3, 5)
 DECISION = 0.7
@@ -54,7 +58,7 @@ def split(text: str | None) -> list[bytes]:
 
 def _units(words: list[bytes]) -> set[bytes]:
     """What evidence is counted on: words without punctuation, and beginnings of words."""
-    bare = {w.strip(b".,;:!?\"'()|") for w in words}
+    bare = {w.strip(MARKS) for w in words}
     return bare | {w[:n] + b"~" for w in bare for n in BEGINNINGS if len(w) > n}
 
 
@@ -63,23 +67,32 @@ def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
     return list({min(zlib.crc32(b" ".join(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))): ws for ws in docs}.values())
 
 
-def _evidence(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words and word beginnings in at least 2 % of the toxic documents and at least 12 times as common there, rarest first. A
-    beginning is left out where one of its continuations is nearly as frequent. Copies of a toxic document are counted once, or what is rare in it
-    would seem frequent."""
-    t, o = Counter(), Counter()
-    toxic = _distinct(toxic)
-    for words in toxic:
-        t.update(_units(words))
+def _evidence(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words and word beginnings in at least 2 % of the toxic documents, at least 12 times as common there, and found twice in each half of them (once, or
+    not at all, where the sample is so small that nothing else is left): what is in few documents by chance is in one half. A
+    beginning is left out where one of its continuations is nearly as frequent."""
+    halves, o = [Counter(), Counter()], Counter()
+    for i, words in enumerate(toxic):
+        halves[i % 2].update(_units(words))
     for words in ordinary:
         o.update(_units(words))
+    t = halves[0] + halves[1]
     least = max(3.0, 0.02 * len(toxic))
-    found = {u for u, n in t.items() if len(u) > 2 and n >= least and (n / (len(toxic) + 1)) > 12 * (o[u] + 0.5) / (len(ordinary) + 1)}
+    told = {u for u, n in t.items() if len(u) > 2 and n >= least and (n / (len(toxic) + 1)) > 12 * (o[u] + 0.5) / (len(ordinary) + 1)}
+    found = next((f for f in ({u for u in told if min(halves[0][u], halves[1][u]) >= k} for k in (2, 1)) if f), told)
     count: dict[bytes, int] = {}
     for u in found:
         count[u.rstrip(b"~")] = max(t[u], count.get(u.rstrip(b"~"), 0))
-    kept = [u for u, n in count.items() if not any(v != u and v.startswith(u) and 1.3 * m >= n for v, m in count.items())]
-    return sorted(kept, key=lambda u: (count[u], u))
+    return {u for u, n in count.items() if not any(v != u and v.startswith(u) and 1.3 * m >= n for v, m in count.items())}
+
+
+def _passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """The words of toxic documents that begin like the evidence, each as it stands there and as often. Copies of a document are counted once, or what
+    is rare in it would seem frequent."""
+    toxic = _distinct(toxic)
+    told = _evidence(toxic, ordinary)
+    most = max(map(len, told), default=0)
+    return [b" " + w + b" " for ws in toxic for w in ws if any(b[:n] in told for b in [w.strip(MARKS)] for n in range(3, min(len(b), most) + 1))]
 
 
 @dataclass
@@ -90,15 +103,11 @@ class Dictionaries:
     @classmethod
     def train(cls, toxic: list[list[bytes]], ordinary: list[list[bytes]], seed: int = 11) -> Dictionaries:
         rng = random.Random(seed)
-        plain = [w[len(LEAD) :] for ws in map(windows, ordinary) for w in rng.sample(ws, min(len(ws), 8))]
+        plain = [w[len(LEAD) :] for ws in map(windows, ordinary) for w in rng.sample(ws, min(len(ws), SAMPLE_WINDOWS))]
         rng.shuffle(plain)
-        common = cls._trained(plain, ORDINARY_BYTES)
-        told = [b" " + u for u in _evidence(toxic, ordinary)]
-        while sum(map(len, told)) > TOXIC_BYTES:
-            told.pop(0)
-        # each sample is a passage of marks; what is most frequent comes last, nearest to the text
-        front = cls._trained([b"".join(told[i:]) for i in range(len(told))], TOXIC_BYTES) + b" " if told else b""
-        return cls(common, front + common)
+        common, told = cls._trained(plain, ORDINARY_BYTES), _passages(toxic, ordinary)
+        rng.shuffle(told)
+        return cls(common, (cls._trained(told, TOXIC_BYTES) + b" " if told else b"") + common)
 
     @staticmethod
     def _trained(samples: list[bytes], size: int) -> bytes:
@@ -164,13 +173,15 @@ class Model:
 
     @staticmethod
     def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-        """The log-odds above which precision and recall are best balanced, halfway to the next lower value."""
+        """The log-odds above which precision and recall are best balanced, halfway to the next lower value; above all of them where they don't differ."""
         order = np.argsort(-z, kind="stable")
         z, hit = z[order], np.cumsum(y[order])
         f = hit / (np.arange(1, len(z) + 1) + BETA**2 * y.sum())
-        last = np.append(z[1:] < z[:-1], True)
-        k = int(np.argmax(np.where(last, f, -1)))
-        return float(z[k] + z[k + 1]) / 2 if k + 1 < len(z) else float(z[k]) - 1.0
+        ends = np.flatnonzero(z[1:] < z[:-1])
+        if not len(ends):
+            return float(z[0]) + 1.0
+        k = ends[np.argmax(f[ends])]
+        return float(z[k] + z[k + 1]) / 2
 
     def scorer(self):
         o, t = (c.compress for c in self.dictionaries.compressors())
@@ -178,13 +189,15 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, training=None) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled texts of each class, chosen by hash of doc_id, from the rows that ``training`` (a condition) allows."""
+    """At most ``rows`` labelled texts of each class, chosen by hash of doc_id, from the rows that ``training`` (a condition) allows; of these the
+    texts of at most SAMPLE_TEXT_BYTES, so that what reaches the driver has a bound in bytes."""
     known = labels.where("doc_id is not null and toxic is not null").where(training if training is not None else F.lit(True))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(rows))
     # at most 2 * rows ids: a size with a bound
-    return [(r.text, r.toxic) for r in docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()]
+    short = docs.select("doc_id", "text").where(F.col("text").isNull() | (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
+    return [(r.text, r.toxic) for r in short.join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, training=None) -> Model | None:
@@ -195,7 +208,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
     """``docs`` with one more column, the score of its text, 0 to 1."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
-    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 8 kB each
+    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 6 kB each
 
     def score(batches):
         of = bound.value.scorer()
