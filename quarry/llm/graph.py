@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 EDGES = "a long, b long"
+ONE_TASK = 5_000_000
 
 
 def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,27 +58,29 @@ def _forest_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) long links to (node, component): for every linked node but the roots, the smallest node reachable from it."""
+    """(a, b) long links to (node, component): for every linked node but the roots, the smallest node reachable from it.
+
+    The centre of a star may stand in a third of the links. Beyond ONE_TASK links the aggregated side of each join is written first: both sides are then plain
+    shuffles, of which Spark splits what is skewed; below, a centre has no more links than a task may have."""
     e = edges.where("a <> b").mapInArrow(_forests, EDGES)
     e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(e)
-    while state[0]:
+    n = e.count()
+    while n:
+        held = cut if n > ONE_TASK else lambda df: df
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = held(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(e)
-        if state == before:
+        small = held(large.groupBy("a").agg(F.min("b").alias("m")))
+        new = cut(large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        # the links of two rounds, each once, are the same if they are as many and none is new
+        before, n = n, new.count()
+        done = n == before and not new.join(e, ["a", "b"], "left_anti").take(1)
+        e = new
+        if done:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _state(e: DataFrame) -> tuple[int, int]:
-    n, s = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    return n, s or 0
-
-
 def blocks(rows: DataFrame, keys: list[str], uid: str, most: int) -> DataFrame:
     """Deal the rows of every key to blocks of about ``most`` indexed rows.
 
