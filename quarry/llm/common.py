@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.session import cut, shared_dir
 
-__all__ = ["BLANKS", "WORD", "cut", "read", "shared_dir", "word_array", "word_count"]
+__all__ = ["BLANKS", "WORD", "cut", "let", "read", "shared_dir", "word_array", "word_count"]
 
 #: What separates words, as a Java regular expression; in Python ``bytes.split()`` cuts at the same bytes.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -25,3 +25,8 @@ def word_array(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 CONTEXT = 40
 #: Numbers that are summed up together; three levels of chunks, the last one of any size, hold a quarter of a million chunks' sums at a small cost.
 CHUNK = 64
@@ -84,11 +86,6 @@ CHECKS = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _running(x: Column, base: Column) -> Column:
     """base, then base with all numbers before it added, for each number of an array of at most CHUNK."""
     zero = F.struct(base.alias("sum"), F.array().cast("array<int>").alias("out"))
@@ -101,13 +98,13 @@ def before_each(x: Column, levels: int = 3) -> Column:
     def of(x: Column) -> Column:
         # slice() would copy the whole array for each chunk
         chunks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), lambda k: F.transform(F.sequence(k, F.least(k + CHUNK, F.size(x)) - 1), lambda i: F.get(x, i)))
-        return _let(chunks, joined)
+        return let(chunks, joined)
 
     def joined(cs: Column) -> Column:
         sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n))
         return F.flatten(F.zip_with(cs, before_each(sums, levels - 1), _running))
 
-    return _let(x, of) if levels else _running(x, F.lit(0))
+    return let(x, of) if levels else _running(x, F.lit(0))
 
 
 def _near(found: Column, gaps: Column, i: Column) -> Column:
@@ -145,10 +142,10 @@ def _matches(text: Column, kind: Kind, order: int) -> Column:
 
     def some(ms: Column) -> Column:
         both = F.struct(ms.alias("m"), F.split(text, kind.pattern, -1).alias("g"))
-        return F.when(F.size(ms) == 0, none).otherwise(_let(both, placed))
+        return F.when(F.size(ms) == 0, none).otherwise(let(both, placed))
 
     # texts without what the kind needs aren't searched, texts without a match aren't split
-    return F.when(text.rlike(kind.needs or kind.pattern), _let(found, some)).otherwise(none)
+    return F.when(text.rlike(kind.needs or kind.pattern), let(found, some)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_array
+from .common import let, word_array
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -62,14 +62,9 @@ def _covered(hashes: Column, n: int) -> Column:
         twice = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
         starts = lambda s: F.array_sort(F.transform(twice(s), lambda x: x["i"]))
         spans = lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(n), F.coalesce(F.get(p, k + 1) - x, F.lit(n)))), F.lit(0), lambda a, x: a + x)
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(_let(pairs, starts), spans))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(pairs, starts), spans))
 
-    return _let(hashes, of)
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(hashes, of)
 
 
 def measures(text: Column) -> Column:
@@ -89,7 +84,7 @@ def measures(text: Column) -> Column:
             F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
-    return _let(word_array(text), of)
+    return let(word_array(text), of)
 
 
 def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
