@@ -54,8 +54,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
 
 
 def quotas(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = MAX_PASSES, seed: int = 17) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, finish (of its first pass), copies, taken."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("key"))
+    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, finish (of its first pass), copies, taken, key (the
+    shuffled order)."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
     slim = cut(slim.withColumn("range", _ranges(F.col("key"))))
     parts = slim.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     shares = cut(targets(parts.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights, passes))
@@ -70,7 +71,11 @@ def quotas(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int =
     )
     queued = cut(queued)
     limit = _last_taken(queued, passes)
-    return queued.select("doc_id", "source", "size", "source_size", "target", _finish(0).alias("finish"), _copies(limit, passes).cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", _finish(0).alias("finish"), _copies(limit, passes).cast("long").alias("copies"), "key").withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", F.col("text"))
 
 
 def _finish(p: int) -> Column:
@@ -125,13 +130,13 @@ def _copies(limit, passes: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = MAX_PASSES, seed: int = 17) -> DataFrame:
     """The mixed stream: the rows of ``docs``, each as often as it is taken, in the range-sorted order of their finish times. Rows of
     size 0 hold no words to weigh and stay as they are."""
-    names = docs.columns
-    taken = quotas(docs, weights, passes, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "finish", (F.col("source_size") / F.col("target")).alias("_again"))
-    # rows that share their id and source: the copies of the first stand for all, by number
-    n = Window.partitionBy("_id", "_source", "_size").orderBy("finish", "copies")
-    taken = taken.withColumn("_n", F.row_number().over(n))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    on = rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_size"] == taken["_size"]) & (rows["_n"] == taken["_n"])
-    kept = rows.join(taken.drop("_sizes"), on).withColumn("_copies", F.when(rows["_size"] == 0, 1).otherwise(F.col("copies")).cast("int"))
-    kept = kept.where(F.col("_copies") > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    return kept.withColumn("_at", F.col("finish") + F.col("_pass") * F.col("_again")).orderBy("_at", "_id").select(*[F.col(f"`{c}`") for c in names])
+    one = Window.partitionBy("doc_id", "source", "key")
+    taken = quotas(docs, weights, passes, seed).withColumn("n", F.row_number().over(one.orderBy("finish", "copies")))
+    taken = taken.select("doc_id", "source", "key", "n", "size", "copies", "finish", (F.col("source_size") / F.col("target")).alias("again")).alias("t")
+    # the documents travel as one column, so that none of theirs can clash; rows that share id, text and source are matched by number
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", _key(seed).alias("key"))
+    rows = rows.withColumn("n", F.row_number().over(one.orderBy(F.xxhash64("doc")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.key") == F.col("t.key")) & (F.col("d.n") == F.col("t.n"))
+    kept = rows.join(taken, same).select("doc", "d.doc_id", "finish", "again", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
+    kept = kept.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return kept.orderBy(F.col("finish") + F.col("pass") * F.col("again"), "doc_id").select("doc.*")

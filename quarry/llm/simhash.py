@@ -355,9 +355,10 @@ def alike(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, rad
 def keep_one(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
     """The documents whose doc_id is the smallest of their group, with all their columns; of repeated rows of that id one stays, rows
     without a doc_id stay."""
-    names = docs.columns
-    kept = alike(docs, width, least, radius, lanes).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept")).dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = alike(docs, width, least, radius, lanes).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().alias("k")
+    # the documents travel as one column, so that none of theirs can clash
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).alias("d")
+    rows = rows.join(kept, F.col("d.doc_id") == F.col("k.doc_id"), "left_semi").dropDuplicates(["doc_id"]).select("doc.*")
     return rows.unionByName(docs.where("doc_id is null"))
 
 
