@@ -56,10 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each is written to the shared folder as Parquet and read again for the next."""
+    """The stages applied to documents; each is written to the shared folder as Parquet and read again for the next. A stage's table is removed when
+    the one after it is written; the last one stays, as the result is made from it when it is read."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
