@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .anchors import Anchored, Repeats, anchored, document_rows, gram_hashes, mixed
+from .anchors import Anchored, Repeats, Settled, Units, anchored, gram_hashes, mixed
 
 WIDTH = 35
 GRAM = 10
@@ -123,15 +123,14 @@ class WordRepeats(Repeats):
         self.width, self.gram, self.by, self.texts = width, gram, step, texts
         self.result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, starts array<long>, ends array<long>" if texts else "")
 
-    def load(self, table: pa.Table) -> Anchored:
-        ids, texts = document_rows(table)
+    def load(self, ids: list, texts: list[bytes]) -> Anchored:
         digest = xxhash.xxh64_intdigest
         hashes, sizes = [], []
         for t in texts:
             words = t.split()
             sizes.append(len(words))
             hashes.append(np.fromiter(map(digest, words), np.uint64, len(words)))
-        return anchored(ids, np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.array(sizes, np.int64), self.width, self.gram)
+        return anchored(ids, Units(np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.array(sizes, np.int64), self.width, self.gram)
 
     @property
     def beyond(self) -> int:
@@ -139,7 +138,7 @@ class WordRepeats(Repeats):
         return self.width - self.by
 
     def payload(self, a, at, first, last):
-        return mixed(gram_hashes(a.units, self.by)), first, last
+        return mixed(gram_hashes(a.units[:], self.by)), first.astype(np.int64), last.astype(np.int64)
 
     def packed(self, payload, rows):
         symbols, first, last = payload
@@ -150,7 +149,8 @@ class WordRepeats(Repeats):
     def settle(self, a, doc, group):
         n = np.bincount(group)
         _, one = np.unique(group, return_index=True)
-        return one, np.minimum(n[group[one]], 2), np.flatnonzero(n[group] >= 2)
+        none = np.empty(0, np.int64)
+        return Settled(one, np.minimum(n[group[one]], 2), np.flatnonzero(n[group] >= 2), none, none)
 
     def solve(self, seen, data):
         windows = seen["last"] - seen["first"] + 1

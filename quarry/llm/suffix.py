@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Anchored, Repeats, anchored, document_rows
+from .anchors import Anchored, Repeats, Settled, Units, anchored
 
 WIDTH = 50
 GRAM = 20
@@ -96,10 +96,9 @@ class SuffixRepeats(Repeats):
         if not texts:
             self.result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-    def load(self, table: pa.Table) -> Anchored:
-        ids, texts = document_rows(table)
+    def load(self, ids: list, texts: list[bytes]) -> Anchored:
         joint = np.frombuffer(b"".join(texts), np.uint8)
-        a = anchored(ids, self.values[joint], np.array([len(t) for t in texts], np.int64), self.width, self.gram)
+        a = anchored(ids, Units(joint, self.values), np.array([len(t) for t in texts], np.int64), self.width, self.gram)
         a.bytes = joint
         return a
 
@@ -123,7 +122,12 @@ class SuffixRepeats(Repeats):
         least = np.full(group.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids)
         own = ids == least[group]
-        return np.flatnonzero(own), np.ones(int(own.sum())), np.flatnonzero(~own)
+        # of a content's windows in the document (or rows) of least id the first one is sent, and the others share its fate
+        mine = np.flatnonzero(own)
+        _, one, of = np.unique(group[mine], return_index=True, return_inverse=True)
+        rest = np.ones(len(mine), bool)
+        rest[one] = False
+        return Settled(mine[one], np.ones(len(one)), np.flatnonzero(~own), mine[rest], mine[one][of[rest]])
 
     def solve(self, seen, data):
         n = len(seen["first"])
