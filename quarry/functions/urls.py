@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Beginnings of the names of tracking parameters.
 TRACKING = "utm_|fbclid|gclid|msclkid|mc_cid|mc_eid"
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?"
@@ -34,6 +36,10 @@ def _encoded(x: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """Without fragment, tracking parameters and default port; scheme and host in lower case; an empty path after a host is /."""
+    return let(url, _normalized)
+
+
+def _normalized(url: Column) -> Column:
     pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v")))
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike(f"^(?:{TRACKING})"))
     query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
@@ -54,6 +60,10 @@ def _without_dots(path: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """A reference as seen from a base, after RFC 3986."""
+    return let(F.struct(base.alias("base"), href.alias("href")), lambda x: _resolved(x["base"], x["href"]))
+
+
+def _resolved(base: Column, href: Column) -> Column:
     root = F.concat(F.when(part(base, 1) != "", F.concat(part(base, 1), F.lit(":"))).otherwise(""), F.when(host(base) != "", F.concat(F.lit("//"), host(base))).otherwise(""))
     rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     path = F.regexp_extract(href, r"^([^?#]*)", 1)
