@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
-from quarry.operators.index import Index
+from quarry.operators.index import Index, corpus_stats
+from quarry.plans.session import cut
 
 K1, B, AUTHORITY_WEIGHT = 1.5, 0.75, 0.2
 METHODS = ("bm25", "tfidf")
@@ -27,6 +28,13 @@ def retrieve(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     return posted.join(wanted.select("term").distinct(), "term", "left_semi").join(wanted, "term").select("query_id", "doc_id").distinct()
 
 
+def narrowed(index: Index, wanted: DataFrame) -> Index:
+    """The index as far as some queries need it, materialised: for several rankings of the same queries, which would read the corpus again each time."""
+    posted = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    sizes = cut(index.lengths)
+    return Index(index.documents, cut(posted), index.terms, sizes, corpus_stats(sizes))
+
+
 def classic_idf(n: Column, df: Column) -> Column:
     return F.when(df > 0, F.log(n / df)).otherwise(F.lit(0.0))
 
@@ -52,19 +60,34 @@ def relevance(index: Index, wanted: DataFrame, method: str = "bm25", k1: float =
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("relevance"))
 
 
-def normalized(value: Column, of: Window) -> Column:
-    """Divided by the largest of the query's candidates; all 0 where that is 0."""
-    most = F.max(value).over(of)
+#: Up to so many rows, one for each query (and method), are broadcast; more are joined.
+BROADCAST_QUERIES = 100_000
+
+
+def per_query(rows: DataFrame, small: DataFrame, on: list[str], queries: int) -> DataFrame:
+    """``rows`` with the columns of a side that has one row for each query."""
+    return rows.join(F.broadcast(small) if queries <= BROADCAST_QUERIES else small, on)
+
+
+def share(value: Column, most: Column) -> Column:
+    """Of the largest of the query's candidates; all 0 where that is 0."""
     return F.when(most == 0, F.lit(0.0)).otherwise(value / most)
 
 
-def blend(scored: DataFrame, authority: DataFrame | None, weight: float = AUTHORITY_WEIGHT) -> DataFrame:
-    """(query_id, doc_id, score). Without authority the relevance itself; with it both are normalised over the query's candidates."""
+def normalised(scored: DataFrame, authority: DataFrame, on: list[str], queries: int) -> DataFrame:
+    """(on..., doc_id, r, a): relevance and authority as shares of the largest of the query's candidates. The largest are aggregated, which combines before it
+    shuffles, and come back as one row for each query."""
+    rows = scored.join(authority.select("doc_id", F.col("score").alias("authority")), "doc_id", "left").fillna(0.0, ["authority"])
+    most = rows.groupBy(*on).agg(F.max("relevance").alias("most_r"), F.max("authority").alias("most_a"))
+    return per_query(rows, most, on, queries).select(*on, "doc_id", share(F.col("relevance"), F.col("most_r")).alias("r"), share(F.col("authority"), F.col("most_a")).alias("a"))
+
+
+def blend(scored: DataFrame, authority: DataFrame | None, weight: float = AUTHORITY_WEIGHT, queries: int = BROADCAST_QUERIES + 1) -> DataFrame:
+    """(query_id, doc_id, score). Without authority the relevance itself; with it both are normalised over the query's candidates. ``queries``: how many there are, if that is known."""
     if authority is None:
         return scored.select("query_id", "doc_id", F.col("relevance").alias("score"))
-    rows = scored.join(authority.select("doc_id", F.col("score").alias("authority")), "doc_id", "left").fillna(0.0, ["authority"])
-    of = Window.partitionBy("query_id")
-    return rows.select("query_id", "doc_id", (F.lit(1.0 - weight) * normalized(F.col("relevance"), of) + F.lit(weight) * normalized(F.col("authority"), of)).alias("score"))
+    rows = normalised(scored, authority, ["query_id"], queries)
+    return rows.select("query_id", "doc_id", (F.lit(1.0 - weight) * F.col("r") + F.lit(weight) * F.col("a")).alias("score"))
 
 
 def ranked(scores: DataFrame, limit: int | None = None, digits: int | None = None) -> DataFrame:
@@ -81,10 +104,12 @@ def top(scores: DataFrame, limit: int) -> DataFrame:
 
 
 def search(index: Index, wanted: DataFrame, authority: DataFrame | None = None, limit: int | None = 10, method: str = "bm25", weight: float = AUTHORITY_WEIGHT, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
-    return ranked(blend(relevance(index, wanted, method, k1, b), authority, weight), limit, digits)
+    queries = wanted.select("query_id").distinct().count() if authority is not None else 0
+    return ranked(blend(relevance(index, wanted, method, k1, b), authority, weight, queries), limit, digits)
 
 
 def compare(index: Index, wanted: DataFrame, limit: int = 5, digits: int | None = None) -> DataFrame:
     """(query_id, rank, tfidf_doc, bm25_doc, moved): both scorers' rankings side by side."""
+    index = narrowed(index, wanted)
     a, b = (search(index, wanted, None, limit, m, digits=digits).select("query_id", "rank", F.col("doc_id").alias(f"{m}_doc")) for m in ("tfidf", "bm25"))
     return a.join(b, ["query_id", "rank"]).withColumn("moved", F.col("tfidf_doc") != F.col("bm25_doc"))
