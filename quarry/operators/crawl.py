@@ -1,19 +1,22 @@
-"""A breadth-first crawl over tables, level by level.
+"""A breadth-first crawl, level by level.
 
-Fetching is a join with a table of responses, so a level of the frontier is one plan. The order of a first-in, first-out queue is kept by the
-key (depth, place in the level), where places follow the place of the parent and of the link in it.
+Fetching is a function from a table of URLs to a table of pages: a join with pages at hand, or the network. So a level of the frontier is one plan. The order of a first-in, first-out queue is kept by the
+key (depth, place in the level), where places follow the place of the parent and of the link in it; they are numbered by ranges, so that no task has to order a level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_digest
 from quarry.functions.urls import host, normalize_url, slugify
+from quarry.operators.index import with_ids
 from quarry.plans.session import cut
 
-MAX_BYTES, LEAST_DELAY = 2_000_000, 1.0
+MAX_BYTES = 2_000_000
 
 
 def usable(responses: DataFrame) -> DataFrame:
@@ -22,55 +25,58 @@ def usable(responses: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of ``urls`` whose (host, path) no disallow rule (host, prefix, allow) forbids; the longest matching rule decides, allow wins ties."""
+    """Rows of ``urls`` whose (host, path) no disallow rule (host, prefix, allow) forbids; the longest matching rule decides, allow wins ties. In a rule * stands
+    for anything, and $ at its end for the end of the path."""
     at = urls.withColumn("_host", host(F.col("url"))).withColumn("_path", F.regexp_extract("url", r"^[^/]*//[^/]*(/[^#]*)", 1))
-    hit = at.join(rules.withColumnRenamed("host", "_host"), "_host").where(F.expr("startswith(_path, prefix)"))
+    # quoted but for the two signs
+    body = F.concat(F.lit("^\\Q"), F.replace(F.regexp_replace("prefix", "\\$$", ""), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"), F.when(F.col("prefix").endswith("$"), "$").otherwise(""))
+    hit = at.join(rules.select(F.col("host").alias("_host"), "prefix", "allow", body.alias("_rule")), "_host").where(F.when(F.col("prefix").rlike("[*$]"), F.expr("_path rlike _rule")).otherwise(F.expr("startswith(_path, prefix)")))
     best = hit.groupBy("url").agg(F.max(F.struct(F.length("prefix"), "allow")).alias("best"))
     return urls.join(best.where(~F.col("best.allow")).select("url"), "url", "left_anti")
 
 
-def delay(declared):
-    return F.greatest(F.coalesce(declared, F.lit(0.0)), F.lit(LEAST_DELAY))
-
-
 def first_of_content(pages: DataFrame, order: str, stored: DataFrame | None = None) -> DataFrame:
-    """Pages (with text) whose digest no earlier page and no stored one has."""
+    """Pages (with text and a unique column ``order``) whose digest no earlier page and no stored one has. Only digests are aggregated; the pages themselves meet the ids that stay."""
     pages = pages.withColumn("digest", content_digest(F.col("text")))
+    keys = pages.select("digest", order)
     if stored is not None:
-        pages = pages.join(stored.select("digest"), "digest", "left_anti")
-    # the smallest order of a digest combines before it shuffles
-    first = pages.groupBy("digest").agg(F.min(order).alias("_first"))
-    return pages.join(first, "digest").where(F.col(order) == F.col("_first")).drop("_first")
+        keys = keys.join(stored.select("digest").distinct(), "digest", "left_anti")
+    return pages.join(keys.groupBy("digest").agg(F.min(order).alias(order)).select(order), order, "left_semi")
+
+
+def crawl(spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFrame], seeds: list[str], max_pages: int = 25, same_host_only: bool = True, rules: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """pages: (url, text, links), or a function from (url) to it, see ``sources.corpus.fetched``; to (url, filename, digest, seq), the pages stored in the order they are.
+    Duplicates of content, of this crawl or of ``stored`` (digest), aren't stored and don't count towards ``max_pages``, but their links are followed."""
+    return crawled(spark, pages, seeds, max_pages, same_host_only, rules, stored).select("url", "filename", "digest", "seq")
 
 
-def crawl(spark: SparkSession, pages: DataFrame, seeds: list[str], max_pages: int = 25, same_host_only: bool = True, rules: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """pages: (url, text, links); to (url, filename, digest, seq), the pages stored in the order they are. Duplicates of content aren't stored and don't
-    count towards ``max_pages``, but their links are followed."""
+def crawled(spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFrame], seeds: list[str], max_pages: int = 25, same_host_only: bool = True, rules: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """As ``crawl``, with the other columns of the pages."""
+    get = pages if callable(pages) else lambda todo: todo.select("url").join(pages, "url")
     start = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "at long, url string").withColumn("url", normalize_url(F.col("url")))
-    level = start.groupBy("url").agg(F.min("at").alias("at"))
+    level = seen = start.groupBy("url").agg(F.min("at").alias("at"))
     hosts = level.select(host(F.col("url")).alias("_host")).distinct()
-    seen = cut(level.select("url"))
     known = stored.select("digest") if stored is not None else spark.createDataFrame([], "digest string")
     out, done = None, 0
     while done < max_pages:
         todo = allowed(level, rules) if rules is not None else level
-        got = cut(todo.join(pages, "url").select("url", "at", content_digest(F.col("text")).alias("digest"), "links"))
-        fresh = got.join(known, "digest", "left_anti")
-        first = fresh.groupBy("digest").agg(F.min("at").alias("at"))
-        kept = cut(fresh.join(first, ["digest", "at"]).orderBy("at").limit(max_pages - done).select("url", "digest", "at"))
-        n = kept.count()
-        rows = kept.select("url", slugify(F.col("url")).alias("filename"), "digest", (F.row_number().over(Window.orderBy("at")) + done - 1).cast("long").alias("seq"))  # at most max_pages rows
+        # fetched once: all that follows reads what is written here
+        got = cut(get(todo).join(todo.select("url", "at"), "url").withColumn("digest", content_digest(F.col("text"))))
+        fresh = got.select("digest", "at").join(known, "digest", "left_anti")
+        kept = fresh.groupBy("digest").agg(F.min("at").alias("at")).orderBy("at").limit(max_pages - done)
+        kept = cut(kept.withColumn("seq", (F.row_number().over(Window.orderBy("at")) + done - 1).cast("long")))  # at most max_pages rows
+        rows = got.join(F.broadcast(kept.select("at", "seq")), "at").withColumn("filename", slugify(F.col("url"))).drop("at")
         out = rows if out is None else out.unionByName(rows)
-        done += n
-        if done < max_pages:
-            known = cut(known.unionByName(kept.select("digest")))
-            links = got.select("at", F.posexplode("links").alias("place", "url")).where(F.col("url").rlike("^https?://"))
-            if same_host_only:
-                links = links.withColumn("_host", host(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
-            new = links.join(seen, "url", "left_anti").groupBy("url").agg(F.min(F.struct("at", "place")).alias("key"))
-            w = Window.orderBy("key")
-            level = cut(new.select("url", (F.row_number().over(w) - 1).cast("long").alias("at")))
-            if not level.take(1):
-                break
-            seen = cut(seen.unionByName(level.select("url")))
-    return out if out is not None else spark.createDataFrame([], "url string, filename string, digest string, seq long")
+        done += kept.count()
+        known = known.unionByName(kept.select("digest"))
+        if done >= max_pages:
+            break
+        links = got.select("at", F.posexplode("links").alias("place", "url")).where(F.col("url").rlike("^https?://"))
+        if same_host_only:
+            links = links.withColumn("_host", host(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
+        new = links.join(seen.select("url"), "url", "left_anti").groupBy("url").agg(F.min(F.struct("at", "place")).alias("key"))
+        level = with_ids(new, "key").select("url", F.col("doc_id").alias("at"))
+        if not level.take(1):
+            break
+        seen = seen.select("url").unionByName(level.select("url"))
+    return out if out is not None else spark.createDataFrame([], "url string, text string, links array<string>, filename string, digest string, seq long")

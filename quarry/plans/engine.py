@@ -28,7 +28,7 @@ class Engine:
         if not 1 <= limit <= 50:
             raise ValueError("limit has to be from 1 to 50")
         terms = ranking.query_terms(self.spark, {"q": q})
-        best = ranking.top(ranking.blend(ranking.relevance(self.index, terms, method), self.authority), limit)
+        best = ranking.top(ranking.blend(ranking.relevance(self.index, terms, method), self.authority, queries=1), limit)
         words = tokenize(F.lit(q))
         rows = self.index.documents.join(F.broadcast(best), "doc_id")  # at most 50 rows
         title, url = (F.col(c) if c in self.index.documents.columns else F.lit("") for c in ("title", "url"))
@@ -56,6 +56,14 @@ class Engine:
         bar = F.col("authority") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)
         return rows.orderBy(F.desc("authority"), "doc_id").select(F.col("doc_id").alias("id"), "url", "title", "length", F.round("authority", 4).alias("authority"), bar.alias("bar"))
 
+    def stats_json(self, suggestions: int = 5, pages: int = 100) -> DataFrame:
+        """One row, ``response``: documents, terms, suggestions and the pages of most authority, as many as asked for."""
+        told = self.suggestions(suggestions).coalesce(1).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))), lambda x: x["term"]).alias("suggestions"))
+        most = self.pages().limit(pages).coalesce(1).agg(F.array_sort(F.collect_list(F.struct((-F.col("bar")).alias("s"), "id", "url", "title", "length", "authority"))).alias("p"))
+        page = lambda x: F.struct(*[x[c].alias(c) for c in ("id", "url", "title", "length", "authority")])
+        row = self.stats().crossJoin(F.broadcast(told)).crossJoin(F.broadcast(most))  # one row each
+        return row.select(F.to_json(F.struct("documents", "terms", "suggestions", F.transform("p", page).alias("pages"))).alias("response"))
+
     def stats(self) -> DataFrame:
         """One row: documents, terms."""
         return self.index.stats.select(F.col("n_docs").alias("documents")).crossJoin(F.broadcast(self.index.terms.agg(F.count("*").alias("terms"))))
