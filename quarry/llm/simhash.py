@@ -8,8 +8,10 @@ indexed under its value in each group and probes the values within the threshold
 
 Texts that share only most of their shingles differ in a share of their bits (at a Jaccard similarity of 0.8, 15 %), beyond what
 thresholds on 64 bits can find at any size. For them (``alike``) fingerprints are made of the distinct shingles and have several lanes of 64
-bits; each lane is cut into groups that have to agree. Of texts that are 0.8 alike nine in ten meet, of texts that are 0.9 alike all but one
-in a thousand, in a table of any size. Pairs that meet and differ in at most ALIKE_RADIUS bits, which refuses one in a thousand at 0.8, only say
+bits. Thresholds that find every pair within so wide a radius would need hundreds of probes, so they are planned for a chance: the same dynamic
+programming gives the groups of all lanes unequal thresholds of the least estimated cost (probes and candidates) with which texts
+that are 0.8 alike meet with a chance of 1 - ALIKE_MISSED or more, in a table of any size. With more rows it chooses wider groups and higher thresholds. Pairs that meet and
+differ in at most ALIKE_RADIUS bits, which refuses one in a thousand at 0.8, only say
 which texts to look at: texts that they connect are compared with each other by the Jaccard similarity of their shingles, which decides.
 
 Copies share a fingerprint (in ``alike`` a set of shingles) and are one row of the search. A task links the fingerprints of its values and
@@ -43,12 +45,18 @@ SAMPLE_ROWS = 4000
 BLOCK_ROWS = 20_000
 TASK_ROWS = 200_000
 #: For texts that share most of their shingles: words in a shingle, least Jaccard similarity, lanes, bits that candidates may differ in (at 0.8 it
-#: is 78 of 512 on average with a deviation of 8), bits of a group.
+#: is 78 of 512 on average with a deviation of 8: a share of ALIKE_BITS), groups that a lane may be cut into, most flips that a group may be probed with, chance to miss a
+#: pair that is just alike enough.
 ALIKE_SHINGLE = 5
 ALIKE = 0.8
 ALIKE_LANES = 8
 ALIKE_RADIUS = 104
-ALIKE_BITS = 16
+ALIKE_BITS = 0.15
+ALIKE_GROUPS = (2, 3, 4, 5, 6)
+ALIKE_FLIPS = 2
+ALIKE_MISSED = 0.04
+#: What a row that is sent costs, in comparisons of two fingerprints.
+ROW_COST = 100
 #: Texts of a block that is compared with another one, texts of a task.
 ALIKE_ROWS = 500
 ALIKE_TASK_ROWS = 10_000
@@ -166,15 +174,46 @@ def _within(p: np.ndarray, radius: int) -> np.ndarray:
     return np.cumsum(at)
 
 
-def _alike_plan(sample: np.ndarray) -> Plan:
-    """Groups of correlated bits of one lane that have to agree. Their width is the same for any number of rows, and with it the chance that
-    two fingerprints meet; what grows with the rows is the number of candidates."""
+def _correlated(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a lane's bits the correlations, and how often two fingerprints differ in each."""
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
     ones = bits.mean(0) if len(bits) else np.full(64, 0.5)
     spread = bits - ones
     size = np.sqrt((spread**2).sum(0)) + 1e-9
-    near = np.abs(spread.T @ spread / np.outer(size, size)) if len(bits) else np.eye(64)
-    return [(sorted(g), 0) for g in _grouped(near, 2 * ones * (1 - ones), 64 // ALIKE_BITS)]
+    return np.abs(spread.T @ spread / np.outer(size, size)) if len(bits) else np.eye(64), 2 * ones * (1 - ones)
+
+
+def _alike_plans(samples: np.ndarray, rows: int) -> list[Plan]:
+    """For each lane groups of correlated bits and thresholds, of least estimated cost for ``rows`` fingerprints among those with which a pair that is just alike
+    enough is missed by all groups with a chance of ALIKE_MISSED at most. Groups are taken to miss independently of each other."""
+    unit = 0.02
+    need = int(np.ceil(-np.log(ALIKE_MISSED) / unit))
+    lanes = [_correlated(samples[:, lane]) for lane in range(samples.shape[1])]
+    best: tuple[float, list[Plan]] | None = None
+    for m in ALIKE_GROUPS:
+        groups = [(lane, sorted(g), differ[g]) for lane, (near, differ) in enumerate(lanes) for g in _grouped(near, differ, m)]
+        # least[j]: the cheapest thresholds of the groups so far whose chances to miss multiply to exp(-j * unit) or less; -1 for a group that isn't used
+        least: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+        for _, bits, differ in groups:
+            meets, seen = _within(np.full(len(bits), ALIKE_BITS), ALIKE_FLIPS), _within(differ, ALIKE_FLIPS)
+            ways = [(0, 0.0, -1)]
+            for t in range(ALIKE_FLIPS + 1):
+                sent = 1 + sum(comb(len(bits), d) for d in range(1, t + 1)) / 2
+                ways.append((int(-np.log1p(-meets[t]) / unit), ROW_COST * rows * sent + rows * rows / 2 * seen[t], t))
+            new: dict[int, tuple[float, tuple[int, ...]]] = {}
+            for j, (cost, ts) in least.items():
+                for gain, more, t in ways:
+                    k = min(need, j + gain)
+                    if k not in new or cost + more < new[k][0]:
+                        new[k] = cost + more, (*ts, t)
+            least = new
+        if need in least and (best is None or least[need][0] < best[0]):
+            plans: list[Plan] = [[] for _ in lanes]
+            for (lane, bits, _), t in zip(groups, least[need][1]):
+                if t >= 0:
+                    plans[lane].append((bits, t))
+            best = least[need][0], plans
+    return best[1]
 
 
 def _prober(plans: list[Plan]):
@@ -246,7 +285,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFram
     """(node, fp), each fp once, to links (a, b) of nodes, whose components are those of all pairs at most ``radius`` bits apart."""
     rows = distinct.count()
     sample = _words([bytes(r.fp) for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).select("fp").collect()], lanes)
-    plans = [plan(sample[:, 0], rows, radius)] if lanes == 1 else [_alike_plan(sample[:, lane]) for lane in range(lanes)]
+    plans = [plan(sample[:, 0], rows, radius)] if lanes == 1 else _alike_plans(sample, rows)
     probes = distinct.select("node", "fp").mapInArrow(_prober(plans), "part int, value long, own boolean, node long, fp binary")
     dealt = blocks(probes, ["part", "value"], "node", BLOCK_ROWS)
     per_row = sum(1 + sum(comb(len(bits), d) for d in range(1, t + 1)) / 2 for p in plans for bits, t in p)

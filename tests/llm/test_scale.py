@@ -256,3 +256,17 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session)
+
+
+@pytest.mark.parametrize("rows", [10**4, 10**6, 10**8, 10**10])
+def test_lanes_meet_at_every_size(rows):
+    """Pairs that differ in 15 % of their bits, as texts 0.8 alike do, meet with the planned chance however many rows the plan is for."""
+    rng = np.random.default_rng(4)
+    plans = simhash._alike_plans(rng.integers(0, 1 << 63, (2000, simhash.ALIKE_LANES), np.uint64), rows)
+    met = np.zeros(4000, bool)
+    for groups in plans:
+        differ = rng.random((4000, 64)) < 0.15
+        assert len({b for bits, _ in groups for b in bits}) == sum(len(bits) for bits, _ in groups)
+        for bits, t in groups:
+            met |= differ[:, bits].sum(1) <= t
+    assert met.mean() >= 0.95
