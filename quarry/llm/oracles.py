@@ -6,8 +6,6 @@ XXH64 (op10); these are tested against brute force.
 
 from __future__ import annotations
 
-from .quality import RULES, STOP_WORDS
-
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 NUMBERED = "docs as (select *, row_number() over () as row from documents)"
 
@@ -51,18 +49,22 @@ kept as (select row, count(*) filter (where len(ts) > 0) as n_lines, count(g.pla
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped, sha256(coalesce(k, '')) as kept_sha256 from docs left join kept using (row)"""
 
 
-def _rule(r) -> str:
-    v = f"case when {r.per} > 0 then {r.measure}::double / {r.per} else 0 end" if r.per else f"{r.measure}::double"
-    return " and ".join(([f"({v}) >= {float(r.least)}::double"] if r.least is not None else []) + ([f"({v}) <= {float(r.most)}::double"] if r.most is not None else []))
-
+# the production thresholds and words, written out a second time, so that a change of the operator's tables doesn't change what they are held against
+STOP_SQL = "'the', 'of', 'and', 'to', 'in', 'is', 'a', 'that', 'der', 'die', 'das', 'und', 'in', 'zu', 'le', 'la', 'les', 'de', 'et', 'que', 'un', 'el', 'los', 'y', 'en'"
+RULES_SQL = """n_words >= 20 and n_words <= 200000
+ and (case when n_words > 0 then word_chars::double / n_words else 0 end) between 2.0::double and 14.0::double
+ and (case when n_words > 0 then n_symbols::double / n_words else 0 end) <= 0.5::double
+ and (case when n_lines > 0 then n_dup_lines::double / n_lines else 0 end) <= 0.3::double
+ and (case when n_words > 0 then n_repeat_words::double / n_words else 0 end) <= 0.3::double
+ and (case when n_words > 0 then n_stop_words::double / n_words else 0 end) >= 0.01::double"""
 
 OP8 = rf"""with {NUMBERED}, w as (select row, doc_id, coalesce(text, '') as text, {WORDS} as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from docs),
 h as (select row, s, array_to_string(ws[s:s + 7], ' ') as k from (select row, ws, unnest(range(1, len(ws) - 6)) as s from w where len(ws) >= 8)),
 again as (select row, s from (select row, s, count(*) over (partition by row, k) as c from h) where c > 1),
 rep as (select row, count(distinct p)::bigint as n from (select row, unnest(range(s, s + 8)) as p from again) group by row),
 m as (select row, doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
- len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{s}'" for s in STOP_WORDS)})))::bigint as n_stop_words from w left join rep using (row))
+ len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(list_filter(ws, lambda x: lower(x) in ({STOP_SQL})))::bigint as n_stop_words from w left join rep using (row))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
- not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {" and ".join(map(_rule, RULES))} as kept from m"""
+ not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {RULES_SQL} as kept from m"""
 
 ORACLE_SQL = {"op2_fmindex": OP2, "op5_embedding": OP5, "op6_suffix": OP6, "op7_lines": OP7, "op8_quality": OP8}
