@@ -11,6 +11,7 @@ from quarry.functions import html, text, urls
 from quarry.operators import crawl, evaluate, graph, index, ranking
 from quarry.operators.suggest import suggest
 from quarry.plans.engine import Engine
+from quarry.plans.session import spread
 from quarry.sources import corpus
 
 WORDS = {"q1": "en the", "q2": "ente tionen", "q3": "the estion the", "q4": "NDAT!"}
@@ -36,7 +37,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _index(spark: SparkSession, sf_dir: str, terms: DataFrame):
+    """The index of the documents as far as the queries' terms need it, made once for all that follows."""
+    return ranking.narrowed(index.build(_docs(spark, sf_dir)), terms)
 
 
 def _authority(docs: DataFrame) -> DataFrame:
@@ -121,12 +127,14 @@ def idf_bm25(spark, sf_dir):
 
 @query(f"with {BASE}, {_scored('t', TFIDF)} select query_id, doc_id, score, rank from {_top('t', 10)}")
 def tfidf_topk(spark, sf_dir):
-    return ranking.search(index.build(_docs(spark, sf_dir)), ranking.query_terms(spark, WORDS), method="tfidf", digits=DIGITS)
+    terms = ranking.query_terms(spark, WORDS)
+    return ranking.search(_index(spark, sf_dir, terms), terms, method="tfidf", digits=DIGITS)
 
 
 @query(f"with {BASE}, {_scored('t', _bm25())} select query_id, doc_id, score, rank from {_top('t', 10)}")
 def bm25_topk(spark, sf_dir):
-    return ranking.search(index.build(_docs(spark, sf_dir)), ranking.query_terms(spark, WORDS), digits=DIGITS)
+    terms = ranking.query_terms(spark, WORDS)
+    return ranking.search(_index(spark, sf_dir, terms), terms, digits=DIGITS)
 
 
 @query(f"with {BASE}, {_scored('t', _bm25())} select query_id, doc_id, round(s, {DIGITS}) as relevance from t where query_id = 'q3'")
@@ -146,7 +154,7 @@ VARIANTS = ((1.2, 0.75), (1.5, 0.0), (1.5, 1.0), (2.0, 0.5))
 )
 def bm25_k1_b_variants(spark, sf_dir):
     terms = ranking.query_terms(spark, WORDS)
-    i = ranking.narrowed(index.build(_docs(spark, sf_dir)), terms)
+    i = _index(spark, sf_dir, terms)
     out = None
     for k1, b in VARIANTS:
         rows = ranking.search(i, terms, limit=5, k1=k1, b=b, digits=DIGITS).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "query_id", "doc_id", "score", "rank")
@@ -161,8 +169,8 @@ def scorer_comparison(spark, sf_dir):
 
 @query(f"with {BASE}, {_scored('t', _bm25())} select query_id, doc_id, score, rank from {_top(_blended('t', 0.2), 10)}")
 def blended_search(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return ranking.search(index.build(docs), ranking.query_terms(spark, WORDS), _authority(docs), digits=DIGITS)
+    terms = ranking.query_terms(spark, WORDS)
+    return ranking.search(_index(spark, sf_dir, terms), terms, _authority(_docs(spark, sf_dir)), digits=DIGITS)
 
 
 @query(
@@ -239,7 +247,7 @@ NORMAL = r"""(with p as (select regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\-]*)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages")
+    return spread(_read(spark, sf_dir, "pages"))
 
 
 @query(f"select page_id, {TITLE_SQL} as title, sha1({TEXT_SQL}) as text_sha1, len(regexp_extract_all(lower({TEXT_SQL}), '[a-z0-9]+'))::bigint as n_tokens from pages")
@@ -376,7 +384,8 @@ JUDGED = "judged as (select query_id, doc_id from q cross join (select distinct
 @query(f"""with {BASE}, {JUDGED}, {_scored('t', _bm25())}, f as (select query_id, min(rank) as hit from {_top('t', None)} join judged using (query_id, doc_id) group by 1)
 select count(*)::bigint as n_queries, round(avg(case when hit = 1 then 1.0 else 0.0 end), 9)::double as p_at_1, round(avg(case when hit <= 10 then 1.0::double / hit else 0 end), 9)::double as mrr from (select distinct query_id from judged) left join f using (query_id)""")
 def eval_p1_mrr(spark, sf_dir):
-    scores = ranking.blend(ranking.relevance(index.build(_docs(spark, sf_dir)), ranking.query_terms(spark, WORDS)), None)
+    terms = ranking.query_terms(spark, WORDS)
+    scores = ranking.blend(ranking.relevance(_index(spark, sf_dir, terms), terms), None)
     found = evaluate.evaluate(scores, _judged(spark, sf_dir), digits=DIGITS)
     return found.select("n_queries", F.round("p_at_1", 9).alias("p_at_1"), F.round("mrr", 9).alias("mrr"))
 
