@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.session import cut, shared_dir
+from quarry.plans.session import cut, shared_dir, spread
 
 __all__ = ["BLANKS", "WORD", "cut", "let", "read", "shared_dir", "word_array", "word_count"]
 
@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_array(text: Column) -> Column:
