@@ -40,7 +40,7 @@ SAMPLE_TEXT_BYTES = 50_000
 SAMPLE_WINDOWS = 8
 #: Sizes that the dictionaries are trained to.
 ORDINARY_BYTES = 4000
-TOXIC_BYTES = 2000
+TOXIC_BYTES = 3000
 #: Bytes a window must save under the toxic dictionary, for each feature.
 SAVINGS = (1, 2, 3, 5)
 DECISION = 0.7
@@ -208,7 +208,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score") -> D
     """``docs`` with one more column, the score of its text, 0 to 1."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
-    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 6 kB each
+    bound = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 7 kB each
 
     def score(batches):
         of = bound.value.scorer()
