@@ -24,6 +24,8 @@ from .common import let
 CONTEXT = 40
 #: Numbers that are summed up together; three levels of chunks, the last one of any size, hold a quarter of a million chunks' sums at a small cost.
 CHUNK = 64
+#: Code points of the pieces that a text is masked by.
+PIECE = 1024
 THRESHOLD = 0.6
 
 
@@ -86,14 +88,14 @@ CHECKS = {
 }
 
 
-def _running(x: Column, base: Column) -> Column:
-    """base, then base with all numbers before it added, for each number of an array of at most CHUNK."""
+def _running(x: Column, base: Column, join) -> Column:
+    """base, then base with all numbers before it joined to it, for each number of an array of at most CHUNK."""
     zero = F.struct(base.alias("sum"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(x, zero, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
+    return F.aggregate(x, zero, lambda a, n: F.struct(join(a["sum"], n).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
 
 
-def before_each(x: Column, levels: int = 3) -> Column:
-    """For each number of an array of ints, which isn't empty, the sum of those before it."""
+def before_each(x: Column, levels: int = 3, join=lambda a, n: a + n) -> Column:
+    """For each number of an array of ints that aren't negative, which isn't empty, the sum of those before it, or what else ``join`` makes of them, from 0."""
 
     def of(x: Column) -> Column:
         # slice() would copy the whole array for each chunk
@@ -101,10 +103,10 @@ def before_each(x: Column, levels: int = 3) -> Column:
         return let(chunks, joined)
 
     def joined(cs: Column) -> Column:
-        sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n))
-        return F.flatten(F.zip_with(cs, before_each(sums, levels - 1), _running))
+        sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), join))
+        return F.flatten(F.zip_with(cs, before_each(sums, levels - 1, join), lambda c, base: _running(c, base, join)))
 
-    return let(x, of) if levels else _running(x, F.lit(0))
+    return let(x, of) if levels else _running(x, F.lit(0), join)
 
 
 def _near(found: Column, gaps: Column, i: Column) -> Column:
@@ -171,15 +173,25 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points of a text from start to end, from its pieces of PIECE: substring() of the text would count from its beginning for each span."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.transform(F.sequence(first, F.floor((end - 1) / PIECE).cast("int")), lambda i: F.get(pieces, i))
+    return F.when(end > start, F.substring(F.array_join(some, ""), start - first * PIECE + 1, end - start)).otherwise("")
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """doc_id and the text with every span replaced by <kind>; where spans overlap the first one is named."""
     every = F.array_sort(F.concat(*[F.col(k.name) for k in KINDS]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
 
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        gap = F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(new, F.concat(a["out"], gap, F.lit("<"), x["kind"], F.lit(">"))).otherwise(a["out"]).alias("out"))
-
-    masked = F.aggregate(every, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    def of(x: Column) -> Column:
+        # up to where the spans before each one reach
+        reached = before_each(F.transform(x["spans"], lambda s: s["end"]), join=lambda a, n: F.greatest(a, n))
+        spans = F.zip_with(x["spans"], reached, lambda s, r: F.struct(r.alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))
+        named = F.transform(F.filter(spans, lambda s: s["start"] >= s["from"]), lambda s: F.concat(_between(x["pieces"], s["from"], s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+        rest = _between(x["pieces"], F.array_max(F.transform(x["spans"], lambda s: s["end"])), F.length("text"))
+        return F.concat(F.array_join(named, ""), rest)
+
+    masked = F.when(F.size(every) == 0, F.col("text")).otherwise(let(F.struct(every.alias("spans"), pieces.alias("pieces")), of))
     return find(docs).select("doc_id", masked.alias("text"))

@@ -74,6 +74,23 @@ def test_pii_context_on_both_sides(spark):
     assert got == {0: 2, 1: 1, 2: 0, 3: 0, 4: 2}
 
 
+def test_mask_of_many_and_overlapping_spans(spark):
+    many = "é😀 " + " ".join(f"x{i} 1.2.{i % 256}.{i // 256} " + "😀" * (i % 7) for i in range(20_000))
+    # a mail address within the password that begins before it, a span at each end, no span, a long stretch without any
+    texts = [many, "password=abc a@b.cc password=x.y@e.fg", "a@b.cc", "none", "a@b.cc" + "\n" * 5000 + "+1 234 567 8901", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for r, t in zip(pii.report(df).orderBy("doc_id").collect(), texts):
+        out, at, t = [], 0, t or ""
+        for kind, a, b in (s.split(":") for s in r.spans.split(",") if s):
+            if int(a) >= at:
+                out.append(t[at : int(a)] + f"<{kind}>")
+            at = max(at, int(b))
+        want.append("".join(out) + t[at:])
+    start = time.perf_counter()
+    assert [r.text for r in pii.mask(df).orderBy("doc_id").collect()] == want and time.perf_counter() - start < 10
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 9000])
 def test_running_sums(spark, n):
     x = [(7 * i) % 11 for i in range(n)]
