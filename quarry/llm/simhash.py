@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -372,33 +372,46 @@ def _compared(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, l
     tasks = max(12, held.count() // ALIKE_TASK_ROWS)
     large = held.groupBy("component").count().where(F.col("count") > ALIKE_ROWS).select("component", F.ceil(F.col("count") / ALIKE_ROWS).cast("int").alias("n"))
     held = held.join(large, "component", "left").join(nodes.select("node", "row"), "node").select("node", "component", "row", F.coalesce("n", F.lit(1)).alias("n"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(held, "row").drop("row").dropDuplicates(["node"])
+    texts = docs.select(_row().alias("row"), "text").join(held, "row").drop("row").dropDuplicates(["node"])
     sets = texts.select("node", "component", "n", "text").mapInArrow(_shingle_batches(width), "node long, component long, n int, shingles binary")
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     return pairs.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks))).select("task", "component", "low", "high", "mine", "node", "shingles").groupBy("task").applyInArrow(_comparer(least), EDGES)
 
 
-def alike(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id of all documents reachable by links of texts at least ``least`` alike)."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+def _groups(docs: DataFrame, width: int, least: float, radius: int, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp, digest) of all rows, and (digest, root, first): the groups of texts at least ``least`` alike, where first is the smallest (doc_id, row) of a
+    digest's rows that have a doc_id."""
+    rows = docs.select("doc_id", _row().alias("row"), "text")
     marked = cut(rows.mapInArrow(_set_batches(width, lanes), "doc_id long, row long, fp binary, digest binary"))
-    nodes = cut(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    nodes = cut(marked.groupBy("digest", "fp").agg(first.alias("first"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
     loose = components(links(nodes, radius, lanes))
     of = components(_compared(docs, nodes, loose, width, least)).withColumnRenamed("node", "linked")
     named = nodes.join(of, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("component", "node").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return marked, named
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def alike(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of all documents reachable by links of texts at least ``least`` alike)."""
+    marked, named = _groups(docs, width, least, radius, lanes)
+    named = named.join(named.groupBy("root").agg(F.min("first.doc_id").alias("component_id")), "root")
     return marked.join(named.select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = ALIKE_SHINGLE, least: float = ALIKE, radius: int = ALIKE_RADIUS, lanes: int = ALIKE_LANES) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, with all their columns; of repeated rows of that id one stays, rows
-    without a doc_id stay."""
-    kept = alike(docs, width, least, radius, lanes).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().alias("k")
+    """Of each group the document with the smallest doc_id, with all its columns; of different texts of that id in one group the one with the smaller hash,
+    of rows equal in id and text one. A doc_id that several groups have is judged in each of them; rows without a doc_id stay."""
+    _, named = _groups(docs, width, least, radius, lanes)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).where("first is not null").select("first.*").alias("k")
     # the documents travel as one column, so that none of theirs can clash
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).alias("d")
-    rows = rows.join(kept, F.col("d.doc_id") == F.col("k.doc_id"), "left_semi").dropDuplicates(["doc_id"]).select("doc.*")
-    return rows.unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", _row().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).alias("d")
+    same = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.col("d.row") == F.col("k.row"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "row"]).select("doc.*").unionByName(docs.where("doc_id is null"))
 
 
 def report(docs: DataFrame) -> DataFrame:

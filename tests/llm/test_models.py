@@ -113,6 +113,15 @@ def test_keep_one_by_exact_similarity(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == set(label.tolist())
 
 
+def test_keep_one_of_repeated_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    # id 5 stands for a copy of 2's text and for a text of its own, twice; the group of z has one row with an id
+    rows = [(2, x, "a"), (5, x, "b"), (5, y, "c"), (5, y, "c"), (7, y + " more", "d"), (None, z, "e"), (9, z, "f"), (None, None, "g"), (None, None, "g"), (8, z + " more", "h")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.source, r.doc_id, r.text) for r in got if r.doc_id is not None) == [("a", 2, x), ("c", 5, y), ("h", 8, z + " more")]
+    assert sorted(r.source for r in got if r.doc_id is None) == ["e", "g", "g"]
+
+
 @pytest.mark.parametrize("rows", [1 << 19, 1 << 22, 1 << 26])
 def test_recall_of_lanes_in_large_tables(spark, monkeypatch, rows):
     rng = np.random.default_rng(7)
