@@ -15,8 +15,7 @@ A row is known by its doc_id and a 64-bit hash of its text, a form by 64-bit has
 
 Defined results: a null text has no lines and stays null; blank lines reach no leaf and stay; an empty text stays
 empty; equal rows lose the same lines; a document that loses all lines keeps its row with an empty text; other columns are
-kept by ``drop_recurring``; an empty table gives an empty result. ``report`` follows its SQL, where lines of under DEPTH tokens reach no leaf
-and CONSTANT is a share of all positions.
+kept by ``drop_recurring``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,9 +43,9 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
 
 
-def _leaf(line: Column, shortest: int) -> Column:
-    """The leaf of a line, as a hash; null for lines of under ``shortest`` tokens. The line is matched for its first tokens, and its tokens are counted."""
-    first = F.regexp_extract(line, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d,%d})" % (shortest - 1, DEPTH - 1), 1)
+def _leaf(line: Column) -> Column:
+    """The leaf of a line, as a hash; null for blank lines. The line is matched for its first tokens, and its tokens are counted."""
+    first = F.regexp_extract(line, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,%d})" % (DEPTH - 1), 1)
     return F.when(first != "", F.xxhash64(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), _masked(F.split(first, BLANKS))))
 
 
@@ -57,14 +56,13 @@ def _salted(left: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFr
     return left.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
-def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, shortest: int = 1, fields: bool = False) -> DataFrame:
-    """(doc_id, whole, place): the lines to drop, by doc_id and hash of the row's text and by number in the text from 0. With ``fields`` tokens with a
-    digit count as positions that aren't constant."""
+def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT) -> DataFrame:
+    """(doc_id, whole, place): the lines to drop, by doc_id and hash of the row's text and by number in the text from 0."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("whole"), F.split("text", "\n").alias("lines"))
     # one row for each leaf of a text, without the text
-    leaves = lines.select("whole", F.explode(F.array_distinct(F.transform("lines", lambda x: _leaf(x, shortest)))).alias("leaf")).where("leaf is not null")
+    leaves = lines.select("whole", F.explode(F.array_distinct(F.transform("lines", _leaf))).alias("leaf")).where("leaf is not null")
     leaves = cut(leaves.distinct().groupBy("leaf").count().where(F.col("count") >= least).select("leaf"))
-    placed = lines.select("doc_id", "whole", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(_leaf(x, shortest).alias("leaf"), i.alias("place"), x.alias("line"))), lambda x: x["leaf"].isNotNull())).alias("x"))
+    placed = lines.select("doc_id", "whole", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct(_leaf(x).alias("leaf"), i.alias("place"), x.alias("line"))), lambda x: x["leaf"].isNotNull())).alias("x"))
     placed = placed.select("doc_id", "whole", "x.leaf", "x.place", "x.line")
     placed = placed.join(F.broadcast(leaves), "leaf") if leaves.count() <= BROADCAST_LEAVES else _salted(placed, leaves, ["leaf"], "whole")
     placed = cut(placed.select("doc_id", "whole", "leaf", "place", _masked(_tokens(F.col("line"))).alias("tokens")).withColumn("form", F.xxhash64("tokens")))
@@ -79,9 +77,9 @@ def recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, s
     by_text = spread.where(~F.col("often") & (F.col("token") != ANY)).join(few, ["leaf", "form"]).select("leaf", "at", "token", "whole").distinct().groupBy("leaf", "at", "token").count()
     usual = by_form.unionByName(by_text.where(F.col("count") >= least).select("leaf", "at", "token")).distinct().withColumn("usual", F.lit(True))
     general = spread.join(usual, ["leaf", "at", "token"], "left").withColumn("part", F.when(F.col("usual"), F.col("token")).otherwise(F.lit(ANY)))
-    judged = F.when(F.col("usual"), 1.0).when(F.lit(fields) | (F.col("token") != ANY), 0.0)
+    judged = F.when(F.col("usual"), 1.0).when(F.col("token") != ANY, 0.0)
     general = general.groupBy("leaf", "form", "often").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"), F.avg(judged).alias("share"), F.count(F.col("usual")).alias("same"), F.count(F.when(F.col("token") == ANY, 1)).alias("digits"))
-    general = cut(general.where((F.col("share") >= constant) & (F.lit(fields) | (F.col("same") >= F.col("digits")))).select("leaf", "form", "often", F.xxhash64(F.transform("parts", lambda p: p["part"])).alias("template")))
+    general = cut(general.where((F.col("share") >= constant) & (F.col("same") >= F.col("digits"))).select("leaf", "form", "often", F.xxhash64(F.transform("parts", lambda p: p["part"])).alias("template")))
     # a template recurs by one of its forms, or by the texts of the rarer ones
     support = few.join(general.where("not often").select("leaf", "form", "template"), ["leaf", "form"]).select("leaf", "template", "whole").distinct().groupBy("leaf", "template").count()
     found = general.where("often").select("leaf", "template").distinct().unionByName(support.where(F.col("count") >= least).select("leaf", "template")).distinct()
@@ -100,9 +98,9 @@ def _without(text: Column, gone: Column) -> Column:
     return let(let(F.split(text, "\n"), lambda lines: F.struct(lines.alias("lines"), F.concat(gone, F.array(F.size(lines))).alias("ends"))), of)
 
 
-def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT, shortest: int = 1, fields: bool = False) -> DataFrame:
+def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with the recurring lines cut out of the texts, and one more column, n_dropped, which takes the place of one of that name."""
-    gone = recurring(docs, least, constant, shortest, fields).groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("place")).alias("gone")).alias("g")
+    gone = recurring(docs, least, constant).groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("place")).alias("gone")).alias("g")
     # the documents travel as one column, so that none of theirs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64("text").alias("whole")).alias("d")
     rows = rows.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.whole") == F.col("g.whole")), "left").select("doc", "gone")
@@ -114,5 +112,5 @@ def drop_recurring(docs: DataFrame, least: int = LEAST, constant: float = CONSTA
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of lines that aren't blank, how many were dropped, the digest of the text that is kept."""
     n = F.size(F.filter(F.split(F.coalesce("before", F.lit("")), "\n"), lambda x: ~x.rlike(BLANK)))
-    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")), shortest=DEPTH, fields=True)
+    kept = drop_recurring(docs.select("doc_id", "text", F.col("text").alias("before")))
     return kept.select("doc_id", n.cast("long").alias("n_lines"), "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

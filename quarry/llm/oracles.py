@@ -39,12 +39,13 @@ select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spa
 TOKENS = r"list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end)"
 OP7 = rf"""with {NUMBERED}, l as (select row, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from docs where text is not null),
 t as (select row, text, line, place, {TOKENS} as ts from l),
-f as (select *, (len(ts) || ' ' || ts[1] || ' ' || ts[2] || ' ' || ts[3]) as leaf from t where len(ts) >= 3),
+f as (select *, (len(ts) || ' ' || array_to_string(ts[1:3], ' ')) as leaf from t where len(ts) >= 1),
 p as (select leaf, ts, text, unnest(range(1, len(ts) + 1)) as pos from (select distinct leaf, ts, text from f)),
 usual as (select leaf, pos, ts[pos] as token from p group by 1, 2, 3 having count(distinct text) >= 20 and token <> '<*>'),
-g as (select x.leaf, x.ts, list(case when u.token is null then '<*>' else u.token end order by x.pos) as template, avg(case when u.token is null then 0.0 else 1.0 end) as share from (select distinct leaf, ts, pos from p) x left join usual u on u.leaf = x.leaf and u.pos = x.pos and u.token = x.ts[x.pos] group by x.leaf, x.ts),
-found as (select template from g join (select distinct leaf, ts, text from f) using (leaf, ts) where share >= 0.6 group by template having count(distinct text) >= 20),
-gone as (select row, place from f join g using (leaf, ts) where share >= 0.6 and template in (select template from found)),
+g as (select x.leaf, x.ts, list(case when u.token is null then '<*>' else u.token end order by x.pos) as template, avg(case when u.token is not null then 1.0 when x.ts[x.pos] <> '<*>' then 0.0 end) as share,
+ count(u.token) as same, count(*) filter (where x.ts[x.pos] = '<*>') as digits from (select distinct leaf, ts, pos from p) x left join usual u on u.leaf = x.leaf and u.pos = x.pos and u.token = x.ts[x.pos] group by x.leaf, x.ts),
+found as (select template from g join (select distinct leaf, ts, text from f) using (leaf, ts) where share >= 0.6 and same >= digits group by template having count(distinct text) >= 20),
+gone as (select row, place from f join g using (leaf, ts) where share >= 0.6 and same >= digits and template in (select template from found)),
 kept as (select row, count(*) filter (where len(ts) > 0) as n_lines, count(g.place) as n_dropped, string_agg(case when g.place is null then line end, chr(10) order by t.place) as k from t left join gone g using (row, place) group by row)
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped, sha256(coalesce(k, '')) as kept_sha256 from docs left join kept using (row)"""
 
