@@ -1,6 +1,6 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Documents are dealt by hash to shards of bounded size. In a shard, documents longer than the largest length are cut into full
+Documents are dealt by hash to shards of bounded size; equal rows are counted first and dealt by COPIES, so that no number of them makes a shard large. In a shard, documents longer than the largest length are cut into full
 sequences and a rest; all pieces are then placed, longest first, into the open bin with the least room that holds them. Where no
 open bin holds a piece, the bin that opens has the length of least cost: the padding that would be left, a fixed price for
 another sequence, and for lengths with room to spare the credit of what the shard's shorter pieces still have to fill it with. At the end
@@ -24,6 +24,8 @@ CAPACITIES = (512, 1024, 2048, 4096)
 #: What another sequence costs, in tokens.
 OPENING = 16
 SHARD_ROWS = 20_000
+#: Up to so many equal rows go to a shard together.
+COPIES = 1000
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, capacity long, position long"
 
 
@@ -58,7 +60,7 @@ def _packer(capacities: tuple[int, ...], opening: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
         t = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
-        ids, sizes = t.column("doc_id").to_pylist(), t.column("size").to_pylist()
+        ids, sizes = ([x for x, n in zip(t.column(c).to_pylist(), t.column("copies").to_pylist()) for _ in range(n)] for c in ("doc_id", "size"))
         placed, caps = pack(sizes, capacities, opening)
         count: dict[int, int] = {}
         rows: list[tuple] = []
@@ -77,7 +79,10 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, op
     """One row for each piece of each document: doc_id, piece, start and length in words, bin_id, the bin's capacity, position in the bin."""
     slim = docs.select("doc_id", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
     shards = max(1, -(-docs.count() // shard_rows))
-    return slim.withColumn("shard", F.pmod("key", F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(_packer(tuple(capacities), opening), SCHEMA)
+    equal = slim.groupBy("doc_id", "size", "key").agg(F.count("*").alias("n"))
+    dealt = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    dealt = dealt.select("doc_id", "size", F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("lot") * COPIES).alias("copies"), F.pmod(F.xxhash64("key", "lot"), F.lit(shards)).cast("long").alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(_packer(tuple(capacities), opening), SCHEMA)
 
 
 def utilisation(packed: DataFrame) -> DataFrame:

@@ -193,6 +193,18 @@ def test_packing_is_best_fit(seed):
     assert packing.pack(sizes, caps, opening) == best_fit(sizes, caps, opening)
 
 
+def test_packing_deals_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 50)
+    df = spark.createDataFrame([(None, "a b c")] * 2030 + [(7, "a b c")] * 3 + [(8, None)] * 120, "doc_id long, text string")
+    got = packing.pack_documents(df, (16, 64), shard_rows=100).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in got) == {(None, 0, 0, 3): 2030, (7, 0, 0, 3): 3, (8, 0, 0, 0): 120}
+    assert max(Counter(r.bin_id >> 32 for r in got if r.length).values()) <= 400
+    held = Counter()
+    for r in got:
+        held[r.bin_id, r.capacity] += r.length
+    assert all(n <= c for (b, c), n in held.items() if b >= 0)
+
+
 @pytest.mark.parametrize("most,salts", [(500_000, 32), (0, 3)])
 def test_lines_by_brute_force(spark, monkeypatch, most, salts):
     monkeypatch.setattr(lines, "BROADCAST_LEAVES", most)
