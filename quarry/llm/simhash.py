@@ -57,9 +57,9 @@ ALIKE_FLIPS = 2
 ALIKE_MISSED = 0.04
 #: What a row that is sent costs, in comparisons of two fingerprints.
 ROW_COST = 100
-#: Texts of a block that is compared with another one, texts of a task.
+#: Texts of a block that is compared with another one, shingles that are sent to a task (8 bytes each).
 ALIKE_ROWS = 500
-ALIKE_TASK_ROWS = 10_000
+ALIKE_TASK_SHINGLES = 2_000_000
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -305,13 +305,14 @@ def cluster(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, lanes:
 
 
 def _set_batches(width: int, lanes: int):
-    """Rows with a text to rows with a fingerprint of its distinct shingles and their digest."""
+    """Rows with a text to rows with a fingerprint of its distinct shingles, their digest and their number."""
 
     def run(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(batch.schema.get_field_index("text"))]
             fp, digest = [_fingerprint(h, lanes) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
-            yield batch.drop_columns(["text"]).append_column("fp", pa.array(fp, pa.binary())).append_column("digest", pa.array(digest, pa.binary()))
+            made = {"fp": pa.array(fp, pa.binary()), "digest": pa.array(digest, pa.binary()), "size": pa.array([len(h) for h in sets], pa.int64())}
+            yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "row")}, **made})
 
     return run
 
@@ -332,35 +333,37 @@ def _comparer(least: float):
         group, low, high, mine, node = (table.column(c).to_numpy() for c in ("component", "low", "high", "mine", "node"))
         order = np.lexsort((node, mine, high, low, group))
         group, low, high, mine, node = group[order], low[order], high[order], mine[order], node[order]
-        raw = table.column("shingles").to_pylist()
+        # views of the table's own memory
+        raw = [x.as_buffer() for x in table.column("shingles")]
         sets = [np.frombuffer(raw[k], np.uint64) for k in order]
         size = np.array([len(x) for x in sets], np.int64)
-        at = np.r_[0, np.cumsum(size)]
-        values, ids = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
-        marked = np.zeros(len(values), bool)
         root = np.arange(len(node))
         a, b = [], []
         start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(node) else []
         for s, e in zip(start, [*start[1:], len(node)]):
             # a block meets itself, or another block that stands after it
             split = s + int((mine[s:e] == low[s]).sum()) if low[s] != high[s] else e
+            # shingles are numbered within the pair of blocks
+            at = np.r_[0, np.cumsum(size[s:e])]
+            values, ids = np.unique(np.concatenate(sets[s:e]), return_inverse=True)
+            marked = np.zeros(len(values), bool)
             for i in range(s, split):
                 others = np.arange(i + 1 if low[s] == high[s] else split, e)
                 small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
                 others = others[(root[others] != root[i]) & (small >= least * large - 1)]
                 if not len(others):
                     continue
-                marked[ids[at[i] : at[i + 1]]] = True
+                marked[ids[at[i - s] : at[i - s + 1]]] = True
                 for j in others:
                     if root[j] != root[i]:
-                        shared = np.count_nonzero(marked[ids[at[j] : at[j + 1]]])
+                        shared = np.count_nonzero(marked[ids[at[j - s] : at[j - s + 1]]])
                         every = size[i] + size[j] - shared
                         if every and shared / every >= least:
                             a.append(node[i])
                             b.append(node[j])
                             here = root[s:e]
                             here[here == root[j]] = root[i]
-                marked[ids[at[i] : at[i + 1]]] = False
+                marked[ids[at[i - s] : at[i - s + 1]]] = False
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -369,10 +372,11 @@ def _comparer(least: float):
 def _compared(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, least: float) -> DataFrame:
     """Links (a, b) of nodes at least ``least`` alike, whose components are those of all such pairs within the components ``loose``."""
     held = cut(loose.select("node", "component").unionByName(loose.select(F.col("component").alias("node"), "component").distinct()))
-    tasks = max(12, held.count() // ALIKE_TASK_ROWS)
     large = held.groupBy("component").count().where(F.col("count") > ALIKE_ROWS).select("component", F.ceil(F.col("count") / ALIKE_ROWS).cast("int").alias("n"))
-    held = held.join(large, "component", "left").join(nodes.select("node", "row"), "node").select("node", "component", "row", F.coalesce("n", F.lit(1)).alias("n"))
-    texts = docs.select(_row().alias("row"), "text").join(held, "row").drop("row").dropDuplicates(["node"])
+    held = held.join(large, "component", "left").join(nodes.select("node", "row", "size"), "node").select("node", "component", "row", "size", F.coalesce("n", F.lit(1)).alias("n"))
+    # a text is sent once for each block of its group
+    tasks = max(12, (held.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0) // ALIKE_TASK_SHINGLES)
+    texts = docs.select(_row().alias("row"), "text").join(held.drop("size"), "row").drop("row").dropDuplicates(["node"])
     sets = texts.select("node", "component", "n", "text").mapInArrow(_shingle_batches(width), "node long, component long, n int, shingles binary")
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
@@ -383,9 +387,9 @@ def _groups(docs: DataFrame, width: int, least: float, radius: int, lanes: int)
     """(doc_id, row, fp, digest) of all rows, and (digest, root, first): the groups of texts at least ``least`` alike, where first is the smallest (doc_id, row) of a
     digest's rows that have a doc_id."""
     rows = docs.select("doc_id", _row().alias("row"), "text")
-    marked = cut(rows.mapInArrow(_set_batches(width, lanes), "doc_id long, row long, fp binary, digest binary"))
+    marked = cut(rows.mapInArrow(_set_batches(width, lanes), "doc_id long, row long, fp binary, digest binary, size long"))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
-    nodes = cut(marked.groupBy("digest", "fp").agg(first.alias("first"), F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(marked.groupBy("digest", "fp").agg(first.alias("first"), F.min("row").alias("row"), F.max("size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
     loose = components(links(nodes, radius, lanes))
     of = components(_compared(docs, nodes, loose, width, least)).withColumnRenamed("node", "linked")
     named = nodes.join(of, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("component", "node").alias("root"))
