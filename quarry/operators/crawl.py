@@ -17,6 +17,8 @@ from quarry.operators.index import with_ids
 from quarry.plans.session import cut
 
 MAX_BYTES = 2_000_000
+#: Up to so many URLs of a level are broadcast to pages at hand, which then stay where they are; more are joined.
+BROADCAST_URLS = 100_000
 
 
 def usable(responses: DataFrame) -> DataFrame:
@@ -44,6 +46,19 @@ def first_of_content(pages: DataFrame, order: str, stored: DataFrame | None = No
     return pages.join(keys.groupBy("digest").agg(F.min(order).alias(order)).select(order), order, "left_semi")
 
 
+def at_hand(pages: DataFrame, parsed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """For ``crawl``: pages at hand as a function from (url) to (url, text, links). What is stored of a page meets the URLs first, and ``parsed``, which makes text and links of it, sees only the
+    pages that are asked for: a level costs one scan, and parsing as many pages as it has."""
+
+    def get(urls: DataFrame) -> DataFrame:
+        urls = urls.select("url")
+        few = urls.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS
+        found = pages.join(F.broadcast(urls) if few else urls, "url")
+        return parsed(found) if parsed else found
+
+    return get
+
+
 def crawl(spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFrame], seeds: list[str], max_pages: int = 25, same_host_only: bool = True, rules: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """pages: (url, text, links), or a function from (url) to it, see ``sources.corpus.fetched``; to (url, filename, digest, seq), the pages stored in the order they are.
     Duplicates of content, of this crawl or of ``stored`` (digest), aren't stored and don't count towards ``max_pages``, but their links are followed."""
@@ -52,7 +67,7 @@ def crawl(spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFram
 
 def crawled(spark: SparkSession, pages: DataFrame | Callable[[DataFrame], DataFrame], seeds: list[str], max_pages: int = 25, same_host_only: bool = True, rules: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """As ``crawl``, with the other columns of the pages."""
-    get = pages if callable(pages) else lambda todo: todo.select("url").join(pages, "url")
+    get = pages if callable(pages) else at_hand(pages)
     start = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "at long, url string").withColumn("url", normalize_url(F.col("url")))
     level = seen = start.groupBy("url").agg(F.min("at").alias("at"))
     hosts = level.select(host(F.col("url")).alias("_host")).distinct()

@@ -44,11 +44,17 @@ def build(docs: DataFrame) -> Index:
     return Index(docs.join(sizes, "doc_id") if "length" not in docs.columns else docs, posted, document_frequency(posted), sizes, corpus_stats(sizes))
 
 
-def with_ids(parsed: DataFrame, order: str) -> DataFrame:
-    """Number rows from 0 in the order of a unique column, by ranges: the counts of the ranges are summed, not the rows gathered."""
-    spark = parsed.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(parsed.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+#: Rows that ``with_ids`` gives to a range at least.
+RANGE_ROWS = 50_000
+
+
+def with_ids(rows: DataFrame, order: str) -> DataFrame:
+    """Number rows from 0 in the order of a unique column, by ranges: the counts of the ranges are summed, not the rows gathered. The rows are written first, as
+    the ranges are sampled: they would be made twice."""
+    spark = rows.sparkSession
+    rows = cut(rows)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS)))
+    ranged = cut(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
     before, done = {}, 0
     for p, n in counts:

@@ -423,7 +423,8 @@ def crawl_bfs(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     at = lambda i: F.concat(F.lit("https://site.example/p/"), i.cast("string"))
     i = F.col("page_id")
-    web = pages.select(at(i).alias("url"), html.visible_text(F.col("html")).alias("text"), F.array(at(2 * i + 1), at(2 * i + 2), at(3 * i)).alias("links"))
+    stored = pages.select(at(i).alias("url"), "html", F.array(at(2 * i + 1), at(2 * i + 2), at(3 * i)).alias("links"))
+    web = crawl.at_hand(stored, lambda found: found.select("url", html.visible_text(F.col("html")).alias("text"), "links"))
     return crawl.crawl(spark, web, ["https://site.example/p/0"], max_pages=100)
 
 

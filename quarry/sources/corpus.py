@@ -43,8 +43,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """(filename, html, url) to documents numbered by file name; a missing or empty url is the file name."""
     url = F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("filename"))
     parsed = pages.select("filename", parse(F.col("html"), url).alias("p"))
-    rows = with_ids(parsed, "filename")
-    return rows.select("doc_id", "p.url", "p.title", "p.text", F.size("p.tokens").cast("long").alias("length"), "p.links")
+    parsed = parsed.select("filename", "p.url", "p.title", "p.text", F.size("p.tokens").cast("long").alias("length"), "p.links")
+    return with_ids(parsed, "filename").select("doc_id", "url", "title", "text", "length", "links")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> Index:

@@ -263,6 +263,28 @@ def test_crawl(spark):
     assert run(stored=stored) == ["", "beds", "well"]
 
 
+def test_crawl_parses_what_it_fetches(spark, tmp_path, monkeypatch):
+    """A page that no link leads to is never parsed."""
+    from quarry.functions import html
+    from quarry.plans.queries import QUERIES
+
+    spark.createDataFrame([(i, f"u{i}", f"words of {i}") for i in range(4)] + [(50, "u50", "unasked")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(html, "visible_text", lambda h: F.when(h == "unasked", F.raise_error(F.lit("parsed"))).otherwise(h))
+    assert [r.url[-1] for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).orderBy("seq").collect()] == ["0", "1", "2", "3"]
+
+
+def test_with_ids_makes_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = index.with_ids(spark.range(1000).selectExpr("1000 - id as key").mapInPandas(count, "key long"), "key")
+    assert {r.key: r.doc_id for r in rows.collect()} == {i + 1: i for i in range(1000)} and made.value == 1000
+
+
 def test_rules(spark):
     text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private # not here\nAllow: /private/open\nCrawl-delay: 3\nDisallow:\n\nUser-agent: Quarry\nUser-agent: friend\nDisallow: /tmp\nCrawl-delay: soon\n"
     assert corpus.robots_rules(text, "somebody") == ([("/private", False), ("/private/open", True)], 3.0)
