@@ -16,14 +16,16 @@ TAG = r"""(?s)<(?:[A-Za-z/!?][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>|[A
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
-#: The standard's names (with their semicolon) and characters, as the standard library has them: one line for each, between line feeds.
-NAMED = "\n" + "".join(f"{n}\t{c}\n" for n, c in sorted(entities.html5.items()) if n.endswith(";") and "\n" not in c)
+#: The standard's names (with their semicolon) and characters, as the standard library has them: one line for each, between line feeds. A text for each code point
+#: from A to z that a name can begin with, so that a name is looked for among those of its letter only.
+NAMED = ["\n" + "".join(f"{n}\t{c}\n" for n, c in sorted(entities.html5.items()) if n.endswith(";") and "\n" not in c and ord(n[0]) == first) for first in range(ord("A"), ord("z") + 1)]
 
 
 def _named(name: Column) -> Column:
     """The characters of a name, null if there is none."""
-    at = F.position(F.concat(F.lit("\n"), name, F.lit("\t")), F.lit(NAMED))
-    return F.when(at > 0, F.substring_index(F.substring(F.lit(NAMED), at + F.length(name) + 2, F.lit(8)), "\n", 1))
+    lines = F.get(F.array(*map(F.lit, NAMED)), F.ascii(name) - ord("A"))
+    at = F.position(F.concat(F.lit("\n"), name, F.lit("\t")), lines)
+    return F.when(at > 0, F.substring_index(F.substring(lines, at + F.length(name) + 2, F.lit(8)), "\n", 1))
 
 
 def _character(ref: Column) -> Column:

@@ -285,6 +285,31 @@ def test_with_ids_makes_rows_once(spark):
     assert {r.key: r.doc_id for r in rows.collect()} == {i + 1: i for i in range(1000)} and made.value == 1000
 
 
+def test_pages_are_read_once(spark):
+    """Each page is made and parsed once, though the ranges of the file names are sampled."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    pages = spark.range(50).selectExpr("concat('p', lpad(50 - id, 3, '0'), '.html') as filename", "concat('<p>w', id, '</p>') as html", "'' as url").mapInPandas(count, "filename string, html string, url string")
+    rows = corpus.parse_pages(pages).collect()
+    assert {r.doc_id: (r.url, r.text, r.length) for r in rows} == {i: (f"p{i + 1:03}.html", f"w{49 - i}", 1) for i in range(50)} and made.value == 50
+
+
+def test_all_names(spark):
+    """All names of character references, each looked for among those of its first letter only."""
+    from html import entities
+
+    from quarry.functions import html
+
+    assert len(html.NAMED) == 58 and max(map(len, html.NAMED)) < 3000
+    want = {n: c for n, c in entities.html5.items() if n.endswith(";") and "\n" not in c} | {"nosuchname;": "&nosuchname;"}
+    assert {r.n: r.c for r in spark.createDataFrame([(n,) for n in want], "n string").select("n", html.decode(F.concat(F.lit("&"), "n")).alias("c")).collect()} == want
+
+
 def test_rules(spark):
     text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private # not here\nAllow: /private/open\nCrawl-delay: 3\nDisallow:\n\nUser-agent: Quarry\nUser-agent: friend\nDisallow: /tmp\nCrawl-delay: soon\n"
     assert corpus.robots_rules(text, "somebody") == ([("/private", False), ("/private/open", True)], 3.0)
