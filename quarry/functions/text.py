@@ -15,6 +15,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def equal_runs(tokens: Column) -> Column:
+    """The distinct tokens in order, each as often as it occurs, with a space after each occurrence."""
+    return F.regexp_extract_all(F.concat(F.array_join(F.sort_array(tokens), " "), F.lit(" ")), F.lit(rf"({TOKEN} )\1*+"), F.lit(0))
+
+
 def token_count(text: Column) -> Column:
     """How many tokens ``tokenize`` gives, without making them."""
     return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN)).cast("long")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import token_count, tokenize
+from quarry.functions.text import equal_runs, token_count, tokenize
 from quarry.plans.session import cut
 
 
@@ -18,10 +18,28 @@ class Index:
     terms: DataFrame  #: term, df
     lengths: DataFrame  #: doc_id, length
     stats: DataFrame  #: one row: n_docs, avgdl
+    whole: DataFrame | None = None  #: the postings as what reads all of them does best; of documents with unique ids also length
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) of (doc_id, text). Tokens are counted inside the document first, so the shuffle carries a row for each term of a document."""
+    """(term, doc_id, tf) of (doc_id, text)."""
+    return (sized_postings(docs) if unique_ids(docs) else merged_postings(docs)).select("term", "doc_id", "tf")
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().where("count > 1").take(1)
+
+
+def sized_postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, length) of documents with unique ids. A row's tokens are sorted and taken as runs of equal ones, so that nothing is aggregated or shuffled."""
+    rows = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    rows = rows.select("doc_id", F.size("tokens").cast("long").alias("length"), F.explode(equal_runs(F.col("tokens"))).alias("run"))
+    term = F.substring_index("run", " ", 1)
+    return rows.select(term.alias("term"), "doc_id", (F.length("run") / (F.length(term) + 1)).cast("long").alias("tf"), "length")
+
+
+def merged_postings(docs: DataFrame) -> DataFrame:
+    """The same without length where rows share an id: their tokens are counted together."""
     tokens = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
     return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
@@ -40,8 +58,10 @@ def corpus_stats(sizes: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    posted, sizes = postings(docs), lengths(docs)
-    return Index(docs.join(sizes, "doc_id") if "length" not in docs.columns else docs, posted, document_frequency(posted), sizes, corpus_stats(sizes))
+    # of a query's terms few tokens are left below the aggregation of merged postings; all postings are cheaper without it
+    posted, sizes = merged_postings(docs), lengths(docs)
+    whole = sized_postings(docs) if unique_ids(docs) else posted
+    return Index(docs.join(sizes, "doc_id") if "length" not in docs.columns else docs, posted, document_frequency(whole), sizes, corpus_stats(sizes), whole)
 
 
 #: Rows that ``with_ids`` gives to a range at least.

@@ -180,6 +180,16 @@ def test_suggest(garden):
     assert want and got == want and [tuple(r) for r in suggest(garden, 1).collect()] == want[:1]
 
 
+def test_suggest_counts_tokens_once(spark):
+    """Postings are made once and shuffled by term only; rows that share an id are counted together."""
+    docs = spark.createDataFrame([(1, "moss fern moss"), (2, "fern"), (3, None), (4, "Moss")], "doc_id long, text string")
+    plan = suggest(index.build(docs), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join Inner, (term" not in plan
+    assert sorted(map(tuple, index.postings(docs).collect())) == [("fern", 1, 1), ("fern", 2, 1), ("moss", 1, 2), ("moss", 4, 1)]
+    twice = docs.unionByName(spark.createDataFrame([(2, "fern moss"), (None, "fern"), (None, "fern")], docs.schema))
+    assert sorted(map(tuple, index.postings(twice).collect()), key=str) == [("fern", 1, 1), ("fern", 2, 2), ("fern", None, 2), ("moss", 1, 2), ("moss", 2, 1), ("moss", 4, 1)]
+
+
 def test_save_and_load(spark, garden, tmp_path):
     corpus.save_index(garden, str(tmp_path))
     assert scores(spark, corpus.load_index(spark, str(tmp_path)), "soil kale") == pytest.approx(bm25(["soil", "kale"]))
