@@ -11,6 +11,8 @@ from quarry.plans.session import cut
 
 K1, B, AUTHORITY_WEIGHT = 1.5, 0.75, 0.2
 METHODS = ("bm25", "tfidf")
+#: Up to so many rows, one for each query (and method, or term), are broadcast; more are joined.
+BROADCAST_QUERIES = 100_000
 
 
 def query_terms(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
@@ -23,16 +25,22 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def needed(posted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of the queries' terms. Spark takes the semi-join below an aggregation, and to postings before a shuffle, only if it is a broadcast."""
+    terms = wanted.select("term").distinct()
+    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    return posted.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+
+
 def retrieve(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents with at least one of the query's terms."""
-    return posted.join(wanted.select("term").distinct(), "term", "left_semi").join(wanted, "term").select("query_id", "doc_id").distinct()
+    return needed(posted, wanted).join(wanted, "term").select("query_id", "doc_id").distinct()
 
 
 def narrowed(index: Index, wanted: DataFrame) -> Index:
     """The index as far as some queries need it, materialised: for several rankings of the same queries, which would read the corpus again each time."""
-    posted = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     sizes = cut(index.lengths)
-    return Index(index.documents, cut(posted), index.terms, sizes, corpus_stats(sizes))
+    return Index(index.documents, cut(needed(index.postings, wanted)), index.terms, sizes, corpus_stats(sizes))
 
 
 def classic_idf(n: Column, df: Column) -> Column:
@@ -47,8 +55,7 @@ def relevance(index: Index, wanted: DataFrame, method: str = "bm25", k1: float =
     """(query_id, doc_id, relevance) for every candidate, also where the score is 0."""
     if method not in METHODS:
         raise ValueError(f"method has to be one of {METHODS}")
-    # a semi-join goes below the aggregation of postings that are made on the fly, and prunes stored ones: only the queries' terms are shuffled
-    posted = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    posted = needed(index.postings, wanted)  # only the queries' terms are shuffled
     hits, df = posted.join(wanted, "term"), posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats))  # one row
     n, tf, size = F.col("n_docs").cast("double"), F.col("tf").cast("double"), F.col("length").cast("double")
@@ -60,10 +67,6 @@ def relevance(index: Index, wanted: DataFrame, method: str = "bm25", k1: float =
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("relevance"))
 
 
-#: Up to so many rows, one for each query (and method), are broadcast; more are joined.
-BROADCAST_QUERIES = 100_000
-
-
 def per_query(rows: DataFrame, small: DataFrame, on: list[str], queries: int) -> DataFrame:
     """``rows`` with the columns of a side that has one row for each query."""
     return rows.join(F.broadcast(small) if queries <= BROADCAST_QUERIES else small, on)

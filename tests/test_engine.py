@@ -190,6 +190,13 @@ def test_suggest_counts_tokens_once(spark):
     assert sorted(map(tuple, index.postings(twice).collect()), key=str) == [("fern", 1, 1), ("fern", 2, 2), ("fern", None, 2), ("moss", 1, 2), ("moss", 2, 1), ("moss", 4, 1)]
 
 
+def test_only_the_terms_of_queries_are_counted(spark, garden):
+    """The semi-join with the queries' terms stands below the aggregation of postings."""
+    docs = spark.createDataFrame([(1, "moss fern"), (2, "fern")], "doc_id long, text string")
+    plan = ranking.retrieve(index.build(docs).postings, ranking.query_terms(spark, {"q": "fern"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [term#") < plan.index("LeftSemi") < plan.index("Generate explode")
+
+
 def test_save_and_load(spark, garden, tmp_path):
     corpus.save_index(garden, str(tmp_path))
     assert scores(spark, corpus.load_index(spark, str(tmp_path)), "soil kale") == pytest.approx(bm25(["soil", "kale"]))
