@@ -75,8 +75,40 @@ def import_json(spark: SparkSession, path: str) -> Index:
 
 
 def export_postings(index: Index) -> DataFrame:
-    """(term, postings): the nested form of the index, a map from doc_id to tf for each term."""
-    return index.postings.groupBy("term").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "tf")))).alias("postings"))
+    """(term, postings): the nested form of the index, a map from doc_id to tf for each term. Postings are shuffled once and sorted; where the term changes a map ends, so that
+    no list is built of rows."""
+    rows = (index.postings if index.whole is None else index.whole).select("term", "doc_id", "tf")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.repartition("term").sortWithinPartitions("term", "doc_id").mapInArrow(_maps, f"term string, postings map<{kind},bigint>")
+
+
+def _maps(batches):
+    """Batches of (term, doc_id, tf), sorted, to (term, map); of a term that goes on in the next batch its rows are held."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def maps(rows, ends):
+        terms, ids, counts = (rows.column(c).combine_chunks() for c in ("term", "doc_id", "tf"))
+        starts = np.concatenate([[0], ends[:-1]])
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(starts)), pa.MapArray.from_arrays(pa.array([0, *ends], pa.int32()), ids[: ends[-1]], counts[: ends[-1]])], ["term", "postings"])
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms = batch.column("term")
+        if held and held[0].column("term")[0] == terms[0] == terms[-1]:
+            held.append(batch)
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        ends = pc.run_end_encode(rows.column("term").combine_chunks()).run_ends.to_numpy()
+        if len(ends) > 1:
+            yield maps(rows, ends[:-1])
+        held = rows.slice(ends[-2] if len(ends) > 1 else 0).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield maps(rows, np.array([rows.num_rows]))
 
 
 def judgments(spark: SparkSession, path: str) -> DataFrame:

@@ -197,6 +197,18 @@ def test_only_the_terms_of_queries_are_counted(spark, garden):
     assert plan.index("Aggregate [term#") < plan.index("LeftSemi") < plan.index("Generate explode")
 
 
+def test_export(spark, garden, tmp_path):
+    """A map for each term, whatever the batches; the postings are shuffled once."""
+    want = {t: {i: c[t] for i, c in enumerate(TF) if c[t]} for t in DF}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("1", "2", "3", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = [(r.term, r.postings) for r in corpus.export_postings(garden).collect()]
+        assert len(got) == len(DF) and dict(got) == want and all(list(p) == sorted(p) for _, p in got)
+    docs = spark.createDataFrame([(1, "moss fern"), (2, "fern")], "doc_id long, text string")
+    assert corpus.export_postings(index.build(docs))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_save_and_load(spark, garden, tmp_path):
     corpus.save_index(garden, str(tmp_path))
     assert scores(spark, corpus.load_index(spark, str(tmp_path)), "soil kale") == pytest.approx(bm25(["soil", "kale"]))
