@@ -209,6 +209,15 @@ def test_export(spark, garden, tmp_path):
     assert corpus.export_postings(index.build(docs))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_repeated_term_reads_what_is_narrowed(spark, tmp_path):
+    """Scores are made of the postings and lengths that were written once, not of the texts again."""
+    from quarry.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "the estion the"), (2, "fern")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["bm25_repeated_term"](spark, str(tmp_path))
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and [r.doc_id for r in found.collect()] == [1]
+
+
 def test_save_and_load(spark, garden, tmp_path):
     corpus.save_index(garden, str(tmp_path))
     assert scores(spark, corpus.load_index(spark, str(tmp_path)), "soil kale") == pytest.approx(bm25(["soil", "kale"]))
