@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.session import cut
+from quarry.plans.session import cut, pieces
 
 DAMPING, MAX_ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 
 
-def link_graph(docs: DataFrame) -> DataFrame:
-    """Distinct (src, dst) between documents of the table; of documents with one url the last id stands for it."""
+def link_graph(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (src, dst) between documents of the table; of documents with one url the last id stands for it. ``parts``: to how many partitions links are dealt, if there are many."""
+    by = lambda df, key: df.repartition(parts, key) if parts else df
     target = docs.groupBy("url").agg(F.max("doc_id").alias("dst"))
     out = docs.select(F.col("doc_id").alias("src"), F.explode("links").alias("url"))
-    return out.join(target, "url").where("src <> dst").select("src", "dst").distinct()
+    return by(by(out, "url").join(by(target, "url"), "url").where("src <> dst").select("src", "dst"), "src").distinct()
 
 
 def inbound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,7 +26,11 @@ def inbound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, score), summing to 1. Each round joins the edges with the scores, adds up by target, and spreads the share of dangling nodes evenly; it ends
-    with the round whose changes add up to less than the tolerance. Only sums reach the driver."""
+    with the round whose changes add up to less than the tolerance. Only sums reach the driver. Edges are written first and dealt by their number, so that what a task
+    holds doesn't grow with them."""
+    edges = cut(edges)
+    parts = pieces(edges.sparkSession, edges.count())
+    edges = edges.repartition(parts, "src")
     degree = edges.groupBy(F.col("src").alias("doc_id")).agg(F.count("*").alias("out"))
     nodes = nodes.select("doc_id").join(degree, "doc_id", "left")
     links = edges.join(degree.withColumnRenamed("doc_id", "src"), "src").select("src", "dst", "out")

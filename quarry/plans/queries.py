@@ -11,7 +11,7 @@ from quarry.functions import html, text, urls
 from quarry.operators import crawl, evaluate, graph, index, ranking
 from quarry.operators.suggest import suggest
 from quarry.plans.engine import Engine
-from quarry.plans.session import spread
+from quarry.plans.session import cut, pieces, spread
 from quarry.sources import corpus
 
 WORDS = {"q1": "en the", "q2": "ente tionen", "q3": "the estion the", "q4": "NDAT!"}
@@ -336,11 +336,18 @@ GRAPH_SQL = """edges as (select distinct a.l_partkey as src, b.l_partkey as dst
 nodes as (select p_partkey as id from part)"""
 
 
-def _part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as documents: the url is the key, the links lead to the next parts of their orders."""
+def _item_pieces(spark: SparkSession, sf_dir: str) -> int:
+    return pieces(spark, _read(spark, sf_dir, "lineitem").count())
+
+
+def _part_docs(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Parts as documents: the url is the key, the links lead to the next parts of their orders. ``parts``: to how many partitions items are dealt, if there are many."""
+    by = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     items = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
-    out = items.join(after, ["l_orderkey", "l_linenumber"]).groupBy("l_partkey").agg(F.collect_set(F.col("next").cast("string")).alias("links"))
+    keys = ["l_orderkey", "l_linenumber"]
+    pairs = by(items, *keys).join(by(after, *keys), keys).select("l_partkey", "next")
+    out = by(pairs, "l_partkey").groupBy("l_partkey").agg(F.collect_set(F.col("next").cast("string")).alias("links"))
     parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"))
     return parts.join(out, F.col("doc_id") == F.col("l_partkey"), "left").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
@@ -368,8 +375,9 @@ pr(it, id, r, delta) as (
  where p.it < 100 and p.delta >= 1e-6::double))
 select id as doc_id, round(r, 9) as score from pr where it = (select max(it) from pr)""")
 def pagerank(spark, sf_dir):
-    docs = _part_docs(spark, sf_dir)
-    return graph.pagerank(docs, graph.link_graph(docs)).select("doc_id", F.round("score", 9).alias("score"))
+    parts = _item_pieces(spark, sf_dir)
+    docs = cut(_part_docs(spark, sf_dir, parts))
+    return graph.pagerank(docs, graph.link_graph(docs, parts)).select("doc_id", F.round("score", 9).alias("score"))
 
 
 # evaluation: documents of good quality count as relevant to every query

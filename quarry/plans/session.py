@@ -34,3 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     is left as it is, so that large tables aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+#: Rows of a few numbers that a task sorts or aggregates at most, where shuffles are dealt by ``pieces``.
+TASK_ROWS = 1_000_000
+
+
+def pieces(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: the session's number, or more of them if a task would get more than TASK_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))

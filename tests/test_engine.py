@@ -146,6 +146,25 @@ def test_pagerank_small(spark, edges, n, damping):
     assert [r.score for r in got] == pytest.approx(authority_of(n, edges, damping), abs=1e-7) and sum(r.score for r in got) == pytest.approx(1)
 
 
+def test_pagerank_deals_edges_by_number(spark, monkeypatch):
+    """Edges are made once, and dealt to more partitions than the session's where a task would get too many."""
+    from quarry.plans import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1)
+    assert session.pieces(spark, 9) == 9 and session.pieces(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    edges = [(0, 4), (1, 4), (3, 4), (4, 2), (2, 0), (2, 1)]
+    rows = spark.createDataFrame(edges, "src long, dst long").mapInPandas(count, "src long, dst long")
+    got = graph.pagerank(spark.range(5).withColumnRenamed("id", "doc_id"), rows).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx(authority_of(5, edges), abs=1e-7) and made.value == len(edges)
+
+
 def test_pagerank_of_nothing(spark):
     assert graph.pagerank(spark.createDataFrame([], "doc_id long"), spark.createDataFrame([], "src long, dst long")).count() == 0
 
